@@ -1,4 +1,27 @@
 """Queries of the language-model problems."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sondage.llm import encode, mapping
+from sondage.session import table
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.map_entities(table(spark, sf, "parsed_records"), table(spark, sf, "ref_entities")).select("parsed_id", "pos", "entity_ref")
+
+
+def p5_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Names without an entry, with the number of their uses."""
+    found = mapping.map_entities(table(spark, sf, "parsed_records"), table(spark, sf, "ref_entities"))
+    return found.where("entity_ref = 0").groupBy("dataset", "name").agg(F.count("*").alias("uses"))
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.encode(table(spark, sf, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
