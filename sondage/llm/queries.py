@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import encode, mapping
+from sondage.llm import encode, mapping, truncation
 from sondage.session import table
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated_runs(table(spark, sf, "raw_records"), table(spark, sf, "prompts"))
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, sf, "raw_records"), table(spark, sf, "prompts"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return mapping.map_entities(table(spark, sf, "parsed_records"), table(spark, sf, "ref_entities")).select("parsed_id", "pos", "entity_ref")
 
@@ -23,5 +31,5 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode(table(spark, sf, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
