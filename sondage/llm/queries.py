@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import encode, mapping, truncation
+from sondage.llm import encode, mapping, pairs, truncation
 from sondage.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf, "raw_records"), table(spark, sf, "prompts"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncated_runs(table(spark, sf, "raw_records"), table(spark, sf, "prompts"))
 
@@ -31,5 +35,5 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode(table(spark, sf, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
