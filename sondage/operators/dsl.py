@@ -1,0 +1,149 @@
+"""The line language of models: parsing texts to nested models and rendering them back (SF6-SF10, SC1, SC10, SC11, WN1-WN5, JN12).
+
+A text is one row throughout: lines, blocks and duplicates are handled by array functions, so a table of texts is parsed
+without a shuffle, however its rows are distributed.
+
+Defined results: a null text parses as an empty one, with parse_failure; lines before any entity are rejected.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sondage.functions.text import canon, let, multiplicity
+
+# Arrows and quotes that are normalized (SF6), the line ends of a text, and the form of a relationship (SF7).
+ARROWS = "[→⇒⟶➔]"
+SINGLE_QUOTES, DOUBLE_QUOTES = "‘’", "“”"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+RELATIONSHIP = (
+    rf"(?i)^REL{BLANK}+(.+?){BLANK}*->{BLANK}*(.+?){BLANK}*:{BLANK}*([^\s]+){BLANK}*->{BLANK}*([^\s]+)(?:{BLANK}*:{BLANK}*FK{BLANK}*={BLANK}*([^:]+?))?{BLANK}*\z"
+)
+
+MODEL = (
+    "struct<entities: array<struct<name: string, pk: array<string>, attrs: array<struct<name: string, is_pk: boolean, is_fk: boolean>>>>, "
+    "relationships: array<struct<frm: string, to: string, cf: string, ct: string, fk: string, fk_cols: array<string>>>>"
+)
+
+
+def strip(text: Column) -> Column:
+    """White space off both ends, as Unicode has it."""
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
+def normalized_lines(text: Column) -> Column:
+    """SF6: lines without blanks, fences, list marks and emphasis, leading keywords in upper case."""
+    plain = F.translate(F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), ARROWS, "->"), SINGLE_QUOTES, "''"), DOUBLE_QUOTES, '""')
+    lines = F.filter(F.transform(F.split(plain, LINE_ENDS), strip), lambda x: (x != "") & ~x.startswith("```") & ~x.startswith("~~~"))
+
+    def clean(line: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(line, rf"^[-*+•]{BLANK}+", ""), rf"^\d+[.)]{BLANK}+", "")
+        bare = F.replace(F.replace(bare, F.lit("**"), F.lit("")), F.lit("__"), F.lit(""))
+        word = let(F.regexp_extract(bare, r"(?U)^([A-Za-z]+)\b", 1), lambda w: F.when(F.upper(w).isin("ENTITY", "PK", "ATTR", "REL"), w).otherwise(""))
+        return F.concat(F.upper(word), F.substring(bare, F.length(word) + 1, F.length(bare)))
+
+    return F.transform(lines, clean)
+
+
+def _kind(line: Column) -> Column:
+    upper = F.upper(line)
+    return F.when(upper.startswith("ENTITY "), "E").when(upper.startswith("PK "), "P").when(upper.startswith("ATTR "), "A").when(upper.startswith("REL"), "R").otherwise("-")
+
+
+def _parts(text: Column, mark: str) -> Column:
+    return F.transform(F.split(text, mark), strip)
+
+
+def _described(line: Column, number: Column) -> Column:
+    """A line with what later steps need: its number, kind, name and canonical name, parts, and whether it is well formed."""
+    kind = _kind(line)
+    entity = strip(F.regexp_replace(strip(F.substring(line, 8, F.length(line))), r'^"+|"+\z', ""))
+    fields = _parts(strip(F.substring(line, 6, F.length(line))), ":")
+    name = F.when(kind == "E", entity).when(kind == "A", fields[0]).otherwise("")
+    columns = F.filter(_parts(F.substring(line, 4, F.length(line)), ","), lambda c: c != "")
+    flags = F.transform(F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0))), F.upper)
+    return F.struct(
+        number.alias("no"),
+        line.alias("line"),
+        kind.alias("kind"),
+        name.alias("name"),
+        F.when(name != "", canon(name)).otherwise("").alias("key"),
+        F.when(kind == "P", columns).otherwise(F.array().cast("array<string>")).alias("columns"),
+        ((kind == "A") & F.array_contains(flags, "PK")).alias("is_pk"),
+        ((kind == "A") & F.array_contains(flags, "FK")).alias("is_fk"),
+    )
+
+
+def _first_by_key(items: Column) -> Column:
+    """Items whose key no earlier item has."""
+    keys = F.transform(items, lambda x: x["key"])
+    return F.filter(items, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+
+
+def _relationship(line: Column) -> Column:
+    part = [F.regexp_extract(line, RELATIONSHIP, i) for i in range(1, 6)]
+    fk = strip(part[4])
+    columns = F.transform(F.filter(F.split(fk, ","), lambda c: strip(c) != ""), canon)
+    key = F.concat_ws("\x01", canon(strip(part[0])), canon(strip(part[1])), multiplicity(part[2]), multiplicity(part[3]), canon(fk))
+    return F.struct(key.alias("key"), strip(part[0]).alias("frm"), strip(part[1]).alias("to"), part[2].alias("cf"), part[3].alias("ct"), fk.alias("fk"), F.when(fk != "", columns).otherwise(F.array().cast("array<string>")).alias("fk_cols"))
+
+
+def parse_models(df: DataFrame, text: str) -> DataFrame:
+    """SC1: ``df`` with ``candidate`` (a model) and ``parse`` (line counts, rejected lines, parse_failure)."""
+    step = df.withColumn("_lines", F.transform(normalized_lines(F.col(text)), _described))
+    starts = F.transform(F.filter("_lines", lambda x: (x["kind"] == "E") & (x["name"] != "")), lambda x: F.struct(x["no"].alias("no"), x["key"].alias("key"), x["name"].alias("name")))
+    step = step.withColumn("_starts", starts)
+    # WN1, WN4: the key of the entity that a line belongs to, that of the last start before it.
+    owner = lambda x: F.element_at(F.filter("_starts", lambda s: s["no"] < x["no"]), -1)
+    owned = F.transform(
+        F.filter("_lines", lambda x: x["kind"].isin("P", "A")),
+        lambda x: F.struct(F.when(F.exists("_starts", lambda s: s["no"] < x["no"]), owner(x)["key"]).alias("owner"), x.alias("x")),
+    )
+    step = step.withColumn("_owned", owned)
+    good = F.filter("_owned", lambda o: o["owner"].isNotNull() & F.when(o["x"]["kind"] == "P", F.size(o["x"]["columns"]) > 0).otherwise(o["x"]["name"] != ""))
+    step = step.withColumn("_good", good)
+    rels = F.transform(F.filter("_lines", lambda x: (x["kind"] == "R") & x["line"].rlike(RELATIONSHIP)), lambda x: _relationship(x["line"]))
+    step = step.withColumn("_all_rels", rels).withColumn("_rels", _first_by_key(F.col("_all_rels")))
+    marked = F.transform(F.filter("_rels", lambda r: r["fk"] != ""), lambda r: F.struct(canon(r["frm"]).alias("key"), F.when(F.size(r["fk_cols"]) > 0, r["fk_cols"]).otherwise(F.array(canon(r["fk"]))).alias("columns")))
+    step = step.withColumn("_marked", marked)
+
+    def entity(start: Column) -> Column:
+        mine = F.filter("_good", lambda o: o["owner"] == start["key"])
+        attrs = _first_by_key(F.transform(F.filter(mine, lambda o: o["x"]["kind"] == "A"), lambda o: o["x"]))
+        named = F.filter(mine, lambda o: o["x"]["kind"] == "P")
+        flagged = F.transform(F.filter(attrs, lambda a: a["is_pk"]), lambda a: a["name"])
+        pk = F.when(F.size(named) > 0, F.element_at(F.concat(F.array(flagged), F.transform(named, lambda o: o["x"]["columns"])), -1)).otherwise(flagged)
+        reference = lambda a: a["is_fk"] | F.exists("_marked", lambda m: (m["key"] == start["key"]) & F.array_contains(m["columns"], a["key"]))
+        return F.struct(start["name"].alias("name"), pk.alias("pk"), F.transform(attrs, lambda a: F.struct(a["name"].alias("name"), a["is_pk"].alias("is_pk"), reference(a).alias("is_fk"))).alias("attrs"))
+
+    entities = F.transform(_first_by_key(F.col("_starts")), entity)
+    plain_rels = F.transform("_rels", lambda r: F.struct(*[r[c].alias(c) for c in ("frm", "to", "cf", "ct", "fk", "fk_cols")]))
+    kept = F.concat(F.transform("_starts", lambda s: s["no"]), F.transform("_good", lambda o: o["x"]["no"]), F.transform(F.filter("_lines", lambda x: (x["kind"] == "R") & x["line"].rlike(RELATIONSHIP)), lambda x: x["no"]))
+    step = step.withColumn("_kept", kept)
+    rejected = F.transform(F.filter("_lines", lambda x: ~F.array_contains(F.col("_kept"), x["no"])), lambda x: x["line"])
+    parse = F.struct(
+        F.size("_lines").cast("bigint").alias("lines_total"),
+        F.size("_kept").cast("bigint").alias("lines_parsed"),
+        (F.size("_lines") - F.size("_kept")).cast("bigint").alias("lines_rejected"),
+        rejected.alias("rejected_lines"),
+        (F.size("_starts") == 0).alias("parse_failure"),
+    )
+    return step.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(entities.alias("entities"), plain_rels.alias("relationships")).cast(MODEL).alias("candidate"), parse.alias("parse"))
+
+
+def render_model(model: Column) -> Column:
+    """SC11, PF16: a model's text in the line language."""
+
+    def attribute(a: Column) -> Column:
+        return F.concat(F.lit("ATTR "), a["name"], F.lit(": text"), F.when(a["is_pk"], " : PK").otherwise(""), F.when(a["is_fk"], " : FK").otherwise(""))
+
+    def entity(e: Column) -> Column:
+        pk = F.when(F.size(e["pk"]) > 0, F.array(F.concat(F.lit("PK "), F.array_join(e["pk"], ", ")))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.concat(F.lit("ENTITY "), e["name"])), pk, F.transform(e["attrs"], attribute))
+
+    def relationship(r: Column) -> Column:
+        return F.concat(F.lit("REL "), r["frm"], F.lit(" -> "), r["to"], F.lit(" : "), r["cf"], F.lit(" -> "), r["ct"], F.when(r["fk"] != "", F.concat(F.lit(" : FK="), r["fk"])).otherwise(""))
+
+    return F.array_join(F.concat(F.flatten(F.transform(model["entities"], entity)), F.transform(model["relationships"], relationship)), "\n")
