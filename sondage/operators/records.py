@@ -66,7 +66,7 @@ class Reader:
 
     def file(self) -> Reader:
         while self.record() and (end := LINE_END.match(self.text, self.at)):
-            self.faults.append(Fault("columns", self.at, len(self.records[-1].values)))
+            self.faults.append(Fault("columns", self.at, len(self.records[-1].values) if self.records else 0))
             self.at = end.end()
         return self
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def average_rank(by: list[str], value: Column) -> Column:
@@ -19,7 +20,7 @@ def average_rank(by: list[str], value: Column) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
 
@@ -48,11 +49,11 @@ def friedman(blocks: DataFrame, by: list[str], block: list[str], treatment: str,
     """TS3: Q over complete blocks of ``levels`` treatments with ties corrected, and p = exp(-Q/2) for three treatments."""
     full = blocks.withColumn("k", F.count("*").over(W.partitionBy(*by, *block))).where(F.col("k") == levels)
     ranked = full.withColumn("rank", average_rank([*by, *block], F.col(value))).withColumn("ties", F.count("*").over(W.partitionBy(*by, *block, value)))
-    per = ranked.groupBy(*by, treatment).agg(F.sum("rank").alias("r"), F.count("*").alias("n"), F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("t"))
+    per = ranked.groupBy(*by, treatment).agg(F.sum("rank").alias("_sum"), F.count("*").alias("_blocks"), F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("_ties"))
     k = float(levels)
-    sums = per.groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.col("r") * F.col("r")).alias("squares"), F.sum("t").alias("t"))
+    sums = per.groupBy(*by).agg(F.max("_blocks").alias("n"), F.sum(F.col("_sum") * F.col("_sum")).alias("squares"), F.sum("_ties").alias("_ties"))
     n = F.col("n").cast("double")
-    q = F.try_divide(12 / (n * k * (k + 1)) * F.col("squares") - 3 * n * (k + 1), 1 - F.col("t") / (n * k * (k * k - 1)))
+    q = F.try_divide(12 / (n * k * (k + 1)) * F.col("squares") - 3 * n * (k + 1), 1 - F.col("_ties") / (n * k * (k * k - 1)))
     out = sums.select(*by, "n", q.alias("q"))
     return out.withColumn("p", F.exp(-F.col("q") / 2)) if levels == 3 else out
 
