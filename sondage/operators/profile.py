@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns of inferred types, in the order in which they are tried.
@@ -83,10 +83,16 @@ def fd_violations(df: DataFrame, lhs: list[str], rhs: list[str]) -> DataFrame:
     return df.groupBy(*lhs).agg(F.count_distinct(dependent).alias("variants"), F.min(dependent).alias("example")).where("variants > 1")
 
 
+def _coded(column: str) -> Column:
+    """A value that can be joined to others without ambiguity: its length before it, a dash for null."""
+    value = F.col(f"`{column}`").cast("string")
+    return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+
 def unique_combinations(df: DataFrame, columns: list[str], most: int = 2, accepted: list[list[str]] = ()) -> DataFrame:
     """AG22, PF6, PF15, ST7: (columns, size, distinct_rows, rows, is_unique) of all combinations up to ``most``; those that contain an accepted key are left out."""
     combos = [c for size in range(1, most + 1) for c in combinations(columns, size) if not any(set(k) <= set(c) for k in accepted)]
-    tagged = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in combo])).alias("v")) for i, combo in enumerate(combos)])).alias("t"))
+    tagged = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.concat(*[_coded(c) for c in combo]).alias("v")) for i, combo in enumerate(combos)])).alias("t"))
     counts = tagged.groupBy("t.i", "t.v").agg(F.count("*").alias("n")).groupBy("i").agg(F.count("*").alias("distinct_rows"), F.sum("n").alias("rows"))
     names = F.array(*[F.lit(", ".join(c)) for c in combos])
     sizes = F.array(*[F.lit(len(c)) for c in combos])
