@@ -204,10 +204,10 @@ class Classifier:
             if len(pair.statements) >= 6 and pair.copied < 0.3 and not pair.language() and len(FENCE.findall(pair.text)) % 2 == 0:
                 sound.append((text, prompt or ""))
         pairs, labels = _models(sound, np.random.default_rng(seed))
-        hashed, dense = [p.buckets() for p in pairs], np.array([p.dense() for p in pairs], np.float64).reshape(len(pairs), -1)
         held = np.arange(len(pairs)) % 4 == 3
         self.model, self.thresholds = None, np.full(len(LABELS), -np.inf)
         if len(pairs) >= 40:
+            hashed, dense = [p.buckets() for p in pairs], np.array([p.dense() for p in pairs], np.float64)
             kept = np.flatnonzero(~held)
             self.model = LogisticModel(len(LABELS), dense.shape[1]).fit([hashed[i] for i in kept], dense[kept], labels[kept])
             logits = self.model.logits([hashed[i] for i in np.flatnonzero(held)], dense[held])

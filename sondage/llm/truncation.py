@@ -59,13 +59,13 @@ GROUP BY e.a, e.b, e.c
 CANDIDATES = """
 SELECT e.run_id, e.provider, e.prompt_file, e.marked, e.body, e.words, e.c, j.ends, j.inside, j.longer
 FROM {ends} e JOIN {judged} j ON e.a = j.a AND e.b = j.b AND e.c = j.c
-WHERE e.marked OR j.longer > j.inside OR j.ends < {share} * (j.ends + j.inside + j.longer) OR j.ends < 2 OR instr(e.body, '```') > 0 OR instr(e.body, '~~~') > 0
+WHERE e.marked OR j.inside = 0 OR j.longer > j.inside OR j.ends < {share} * (j.ends + j.inside + j.longer) OR j.ends < 2 OR instr(e.body, '```') > 0 OR instr(e.body, '~~~') > 0
 """
 
 LINES = r"""
 SELECT *, regexp_extract(upper(line), '^(ENTITY|PK|ATTR|REL)(?=\\s|$)', 1) AS keyword,
   size(regexp_extract_all(body, '(?m)^[ \\t>]*(?:```|~~~)', 0)) % 2 = 1 AS open_fence,
-  array_position(words, c) < size(words) AS known_word
+  array_position(words, c) < size(words) AS known_word, exists(words, w -> startswith(w, c) AND w != c) AS begun_word
 FROM (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(last_line, '→|⇒|⟶|➔', '->'), '\\*\\*|__', ''), '^[\\s>]*(?:[-*•+–]+(?:\\s+|$)|[0-9]+[.)](?:\\s+|$))?', '') AS line
   FROM (SELECT *, substring_index(translate(body, '\r', '\n'), '\n', -1) AS last_line FROM {candidates}))
@@ -96,9 +96,10 @@ SELECT run_id, provider, body, CASE
   WHEN keyword = 'ATTR' THEN NOT line RLIKE '(?i)^ATTR\\s+[^:]*[^:\\s]\\s*:\\s*[^:\\s][^:]*(?:\\s*:\\s*(?:PK|FK))*$' OR (NOT line RLIKE '(?i):\\s*(?:PK|FK)$' AND longer > inside)
   WHEN keyword = 'REL' THEN CASE
     WHEN line RLIKE '(?i)^REL\\s+.*\\S\\s*->\\s*\\S.*?\\s*:\\s*CARD\\s*->\\s*CARD\\s*$' THEN false
-    WHEN line RLIKE '(?i)^REL\\s+.*\\S\\s*->\\s*\\S.*?\\s*:\\s*CARD\\s*->\\s*CARD\\s*:\\s*FK\\s*=\\s*\\S.*$' THEN NOT known_word AND longer > inside
+    WHEN line RLIKE '(?i)^REL\\s+.*\\S\\s*->\\s*\\S.*?\\s*:\\s*CARD\\s*->\\s*CARD\\s*:\\s*FK\\s*=\\s*\\S.*$' THEN NOT known_word AND (begun_word OR longer > inside)
     ELSE true END
   WHEN regexp_replace(upper(line), '[*_ ]', '') IN ('E', 'EN', 'ENT', 'ENTI', 'ENTIT', 'A', 'AT', 'ATT', 'R', 'RE', 'P') AND size(words) > 5 THEN true
+  WHEN NOT body RLIKE '\\s' AND length(body) < 12 THEN false
   WHEN body RLIKE '[.!?]["”»’)\\]*_]*$' THEN false
   WHEN body RLIKE '[,;:]$' THEN true
   ELSE size(words) > 4 AND NOT (ends >= 2 AND longer <= inside + ends AND ends >= {prose} * (ends + inside + longer)) END AS cut
