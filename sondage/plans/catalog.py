@@ -258,13 +258,7 @@ query(
 )(lambda s, sf: table(s, sf, "ref_entities").select(F.explode("attributes").alias("a")).select(F.col("a.name").alias("c")).distinct().select("c", entity_name(F.col("c")).alias("entity")))
 
 # The records of runs, parsed: the same result as the parsed table, for runs that both have.
-SINGLE_RAW = "SELECT run_id, min_by(response_text, raw_id) AS response_text FROM raw_records GROUP BY run_id"
-
-
-def runs_of(s: SparkSession, sf: str) -> DataFrame:
-    """One text a run, of runs that were parsed."""
-    raw = table(s, sf, "raw_records").groupBy("run_id").agg(F.min_by("response_text", "raw_id").alias("response_text"))
-    return raw.join(table(s, sf, "parsed_records").select("run_id").distinct(), "run_id", "left_semi")
+# Texts are parsed where they are read; only what is kept of them is shuffled to one row a run.
 
 
 @query(
@@ -276,9 +270,10 @@ def runs_of(s: SparkSession, sf: str) -> DataFrame:
     FROM parsed_records WHERE run_id IN (SELECT run_id FROM raw_records) GROUP BY run_id""",
 )
 def parsed_models(s: SparkSession, sf: str) -> DataFrame:
-    m = dsl.parse_models(spread(runs_of(s, sf)), "response_text")
-    return m.select(
+    m = dsl.parse_models(spread(table(s, sf, "raw_records").select("run_id", "raw_id", "response_text")), "response_text")
+    found = m.select(
         "run_id",
+        "raw_id",
         F.size("candidate.entities").cast("bigint").alias("entities"),
         F.aggregate("candidate.entities", F.lit(0).cast("bigint"), lambda n, e: n + F.size(e["attrs"])).alias("attributes"),
         F.size("candidate.relationships").cast("bigint").alias("relationships"),
@@ -288,6 +283,9 @@ def parsed_models(s: SparkSession, sf: str) -> DataFrame:
         "parse.lines_rejected",
         "parse.parse_failure",
     )
+    kept = [c for c in found.columns if c not in ("run_id", "raw_id")]
+    first = found.groupBy("run_id").agg(F.min_by(F.struct(*kept), "raw_id").alias("m")).select("run_id", *[f"m.{c}" for c in kept])
+    return first.join(table(s, sf, "parsed_records").select("run_id").distinct(), "run_id", "left_semi")
 
 
 @query("rendered_models")
@@ -309,8 +307,8 @@ def _dim(d: str) -> str:
 )
 def model_scores(s: SparkSession, sf: str) -> DataFrame:
     wanted = table(s, sf, "metrics_records").where("metrics is not null").select("run_id")
-    runs = table(s, sf, "parsed_records").dropDuplicates(["run_id"]).join(wanted, "run_id", "left_semi").select("run_id", "dataset", "candidate")
-    scored = scoring.score_models(spread(runs), scoring.references(table(s, sf, "ref_entities")))
+    runs = table(s, sf, "parsed_records").select("run_id", "dataset", "candidate")
+    scored = scoring.score_models(spread(runs), scoring.references(table(s, sf, "ref_entities"))).select("run_id", "scores").dropDuplicates(["run_id"]).join(wanted, "run_id", "left_semi")
     names = (("entities", "entities"), ("keys", "keys"), ("pk_only", "keys_pk_only"), ("fk_only", "keys_fk_only"), ("attributes", "attributes"))
     return scored.select("run_id", *[F.col(f"scores.{d}.{c}").alias(f"{n}_{c}") for d, n in names for c in ("tp", "fp", "fn")], scoring.rounded(F.col("scores.entities.f1")).alias("entities_f1"))
 
@@ -330,17 +328,17 @@ def links_of(refs: DataFrame) -> DataFrame:
 )
 def relationship_scores(s: SparkSession, sf: str) -> DataFrame:
     wanted = table(s, sf, "metrics_records").where("metrics is not null").select("run_id")
-    runs = table(s, sf, "parsed_records").dropDuplicates(["run_id"]).join(wanted, "run_id", "left_semi").select("run_id", "dataset", "candidate")
+    runs = table(s, sf, "parsed_records").select("run_id", "dataset", "candidate")
     refs = table(s, sf, "ref_entities")
-    scored = scoring.score_relationships(spread(runs), scoring.references(refs), links_of(refs))
-    return scored.select("run_id", "relationships.tp", "relationships.fp", "relationships.fn")
+    scored = scoring.score_relationships(spread(runs), scoring.references(refs), links_of(refs)).select("run_id", "relationships")
+    return scored.dropDuplicates(["run_id"]).join(wanted, "run_id", "left_semi").select("run_id", "relationships.tp", "relationships.fp", "relationships.fn")
 
 
 @query("relaxed_recall")
 def relaxed_recall(s: SparkSession, sf: str) -> DataFrame:
     refs = table(s, sf, "ref_entities")
-    runs = table(s, sf, "parsed_records").dropDuplicates(["run_id"]).select("run_id", "dataset", "provider", "cond_id", "candidate")
-    scored = scoring.score_relationships(spread(runs), scoring.references(refs), links_of(refs))
+    runs = table(s, sf, "parsed_records").select("run_id", "dataset", "provider", "cond_id", "candidate")
+    scored = scoring.score_relationships(spread(runs), scoring.references(refs), links_of(refs)).select("run_id", "dataset", "provider", "cond_id", "relationships", "relaxed_recall").dropDuplicates(["run_id"])
     return scored.groupBy("dataset", "provider", "cond_id").agg(F.count("*").alias("runs"), F.avg("relationships.recall").alias("strict_recall"), F.avg("relaxed_recall").alias("relaxed_recall"))
 
 

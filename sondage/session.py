@@ -51,7 +51,7 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """``df`` over at least one partition a core; a table that already has them isn't shuffled."""
+    """A scanned table over at least one partition a core; one that already has them isn't shuffled. Not for plans with shuffles: asking for their partitions runs them."""
     want = df.sparkSession.sparkContext.defaultParallelism * factor
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
