@@ -64,8 +64,8 @@ WHERE e.marked OR j.inside = 0 OR j.longer > j.inside OR j.ends < {share} * (j.e
 
 LINES = r"""
 SELECT *, regexp_extract(upper(line), '^(ENTITY|PK|ATTR|REL)(?=\\s|$)', 1) AS keyword,
-  size(regexp_extract_all(body, '(?m)^[ \\t>]*(?:```|~~~)', 0)) % 2 = 1 AS open_fence,
-  array_position(words, c) < size(words) AS known_word, exists(words, w -> startswith(w, c) AND w != c) AS begun_word
+  CASE WHEN instr(body, '```') > 0 OR instr(body, '~~~') > 0 THEN size(regexp_extract_all(body, '(?m)^[ \\t>]*(?:```|~~~)', 0)) % 2 = 1 ELSE false END AS open_fence,
+  right(body, 16) AS ending
 FROM (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(last_line, '→|⇒|⟶|➔', '->'), '\\*\\*|__', ''), '^[\\s>]*(?:[-*•+–]+(?:\\s+|$)|[0-9]+[.)](?:\\s+|$))?', '') AS line
   FROM (SELECT *, substring_index(translate(body, '\r', '\n'), '\n', -1) AS last_line FROM {candidates}))
@@ -87,7 +87,7 @@ VERDICTS = (
 SELECT run_id, provider, body, CASE
   WHEN NOT body RLIKE '[\\p{{L}}\\p{{N}}]' THEN false
   WHEN marked OR open_fence THEN true
-  WHEN copied AND NOT body RLIKE '[.!?)>:]$' THEN coalesce(follows, '') NOT IN ('', '\n')
+  WHEN copied AND NOT ending RLIKE '[.!?)>:]$' THEN coalesce(follows, '') NOT IN ('', '\n')
   WHEN copied THEN false
   WHEN last_line RLIKE '^\\s*(?:```|~~~)\\w*\\s*$' THEN false
   WHEN last_line RLIKE '^\\s*(?:`{{1,2}}|~{{1,2}}|[-•+–*]+|[0-9]+[.)])\\s*$' THEN size(words) > 5
@@ -96,12 +96,12 @@ SELECT run_id, provider, body, CASE
   WHEN keyword = 'ATTR' THEN NOT line RLIKE '(?i)^ATTR\\s+[^:]*[^:\\s]\\s*:\\s*[^:\\s][^:]*(?:\\s*:\\s*(?:PK|FK))*$' OR (NOT line RLIKE '(?i):\\s*(?:PK|FK)$' AND longer > inside)
   WHEN keyword = 'REL' THEN CASE
     WHEN line RLIKE '(?i)^REL\\s+.*\\S\\s*->\\s*\\S.*?\\s*:\\s*CARD\\s*->\\s*CARD\\s*$' THEN false
-    WHEN line RLIKE '(?i)^REL\\s+.*\\S\\s*->\\s*\\S.*?\\s*:\\s*CARD\\s*->\\s*CARD\\s*:\\s*FK\\s*=\\s*\\S.*$' THEN NOT known_word AND (begun_word OR longer > inside)
+    WHEN line RLIKE '(?i)^REL\\s+.*\\S\\s*->\\s*\\S.*?\\s*:\\s*CARD\\s*->\\s*CARD\\s*:\\s*FK\\s*=\\s*\\S.*$' THEN array_position(words, c) = size(words) AND (exists(words, w -> startswith(w, c) AND w != c) OR longer > inside)
     ELSE true END
   WHEN regexp_replace(upper(line), '[*_ ]', '') IN ('E', 'EN', 'ENT', 'ENTI', 'ENTIT', 'A', 'AT', 'ATT', 'R', 'RE', 'P') AND size(words) > 5 THEN true
   WHEN NOT body RLIKE '\\s' AND length(body) < 12 THEN false
-  WHEN body RLIKE '[.!?]["”»’)\\]*_]*$' THEN false
-  WHEN body RLIKE '[,;:]$' THEN true
+  WHEN ending RLIKE '[.!?]["”»’)\\]*_]*$' THEN false
+  WHEN ending RLIKE '[,;:]$' THEN true
   ELSE size(words) > 4 AND NOT (ends >= 2 AND longer <= inside + ends AND ends >= {prose} * (ends + inside + longer)) END AS cut
 FROM {placed}
 """
