@@ -85,17 +85,28 @@ QUOTED = re.compile(r'"[^"\n]{1,40}"|“[^”\n]{1,40}”|«[^»\n]{1,40}»')
 DATA = re.compile(r"^[^\n]*,[^\n]*,[^\n]*,[^\n]*$", re.M)
 
 
+@lru_cache(1 << 17)
+def coded(word: str) -> bool:
+    """Identifiers and numbers."""
+    return "_" in word or any(c.isdigit() for c in word)
+
+
+@lru_cache(1 << 17)
+def masked(word: str) -> str:
+    return word if len(word) < 24 and not coded(word) else "#"
+
+
 @lru_cache(4096)
 def prompt_facts(prompt: str) -> tuple[frozenset, str, frozenset]:
     """Four-word shingles, language and column-like words of a prompt."""
     words = WORD.findall(prompt.lower())
-    return frozenset(zip(words, words[1:], words[2:], words[3:], strict=False)), language(prompt)[0], frozenset(w for w in words if "_" in w or any(c.isdigit() for c in w))
+    return frozenset(zip(words, words[1:], words[2:], words[3:], strict=False)), language(prompt)[0], frozenset(filter(coded, words))
 
 
 def language(text: str) -> tuple[str, dict[str, int]]:
     """The language of a text's prose and the words of each: model lines, quoted words, identifiers and data don't count."""
     prose = QUOTED.sub(" ", "\n".join(x for x in DATA.sub("", text).split("\n") if not LINE.match(x) or x.rstrip().endswith(".")))
-    words = [w.lower() for w in WORD.findall(unicodedata.normalize("NFC", prose)) if not any(c.isdigit() or c == "_" for c in w)]
+    words = [w.lower() for w in WORD.findall(unicodedata.normalize("NFC", prose)) if not coded(w)]
     hits = {lang: sum((2 if w in OWN[lang] else 1) for w in words if w in WORDS[lang]) for lang in WORDS}
     best = max(hits, key=hits.get)
     return (best if hits[best] else ""), hits
@@ -112,12 +123,12 @@ class Pair:
         self.words = WORD.findall(self.text.lower())
         own = list(zip(self.words, self.words[1:], self.words[2:], self.words[3:], strict=False))
         self.copied = sum(s in shingles for s in own) / len(own) if own else 0.0
-        self.used = len({w for w in self.words if w in columns or "_" in w or any(c.isdigit() for c in w)})
+        self.used = sum(w in columns or coded(w) for w in set(self.words))
         self.said, self.hits = language(self.text)
         self.last = lines[-1].strip() if lines else ""
 
     def buckets(self) -> np.ndarray:
-        return hashed_words([w if len(w) < 24 and not any(c.isdigit() or c == "_" for c in w) else "#" for w in self.words])
+        return hashed_words(list(map(masked, self.words)))
 
     def dense(self) -> list[float]:
         n, tail = len(self.words), self.text.rstrip()
