@@ -74,9 +74,9 @@ FROM (
 # Where the end of the text stands in its prompt, and what follows there: white space is one blank, line ends are kept in a text of equal length.
 PLACED = r"""
 SELECT l.*, CASE WHEN at > 0 THEN substr(prompt, at + length(tail), 1) END AS follows, at > 0 AS copied FROM (
-  SELECT l.*, p.prompt, CASE WHEN length(tail) >= 12 THEN locate(tail, translate(p.prompt, '\n', ' ')) ELSE 0 END AS at
+  SELECT l.*, p.prompt, CASE WHEN length(tail) >= 12 THEN locate(tail, p.flat) ELSE 0 END AS at
   FROM (SELECT *, trim(right(regexp_replace(regexp_replace(lower(right(body, 200)), '\n[ \t]*>[ \t]?', '\n'), '\\s+', ' '), 24)) AS tail FROM {lines}) l
-  LEFT JOIN (SELECT prompt_file, regexp_replace(regexp_replace(regexp_replace(lower(prompt_text), '[ \t\r]*\n\\s*', '\n'), '[ \t\r]+', ' '), '\\s+$', '') AS prompt FROM {prompts}) p
+  LEFT JOIN (SELECT *, translate(prompt, '\n', ' ') AS flat FROM (SELECT prompt_file, regexp_replace(regexp_replace(regexp_replace(lower(prompt_text), '[ \t\r]*\n\\s*', '\n'), '[ \t\r]+', ' '), '\\s+$', '') AS prompt FROM {prompts})) p
   ON l.prompt_file = p.prompt_file) l
 """
 
