@@ -2,10 +2,13 @@
 
 Every text is read as words, marks of its own and line starts aside. Trigrams are counted inside texts and at their ends.
 A text is a candidate unless its final trigram is often terminal: the trigrams that are frequent inside, or that the last
-word only begins (``va`` of ``varchar``), but that almost never end a text remain. An exact check of the candidates' last
+word only begins (``va`` of ``varchar``), but that almost never end a text remain. Whatever its final trigram, a text is a
+candidate too if its last line is neither a complete statement nor closed prose. An exact check of the candidates' last
 line follows: the grammar of the model language, fences left open, words that are only the start of a frequent one,
 copied text against the line of the prompt it comes from, and prose without an end.
 
+Ends are counted in distinct texts (by digest), so that copies of a cut answer don't make its end look usual.
+
 Finish reasons and token counts aren't read: they decide nothing here, and the rates per source compare them.
 
 Defined results: null, blank and word-less texts aren't cut; a mark of a cut after any word is a cut; repeated rows of a
@@ -51,16 +54,29 @@ JUDGED = """
 SELECT e.a, e.b, e.c, first(e.ends) AS ends,
   coalesce(sum(CASE WHEN i.c = e.c THEN i.inside END), 0) AS inside,
   coalesce(sum(CASE WHEN startswith(i.c, e.c) AND i.c != e.c THEN i.inside END), 0) AS longer
-FROM (SELECT a, b, c, count(DISTINCT run_id) AS ends FROM {ends} GROUP BY a, b, c) e
+FROM (SELECT a, b, c, count(DISTINCT xxhash64(body)) AS ends FROM {ends} GROUP BY a, b, c) e
 LEFT JOIN {inside} i ON e.a = i.a AND e.b = i.b
 GROUP BY e.a, e.b, e.c
 """
 
-CANDIDATES = """
+CARDINALITY = r"(?:[01]\\.\\.(?:1|N|M|\\*)|1|N|M|\\*|MANY|ONE)"
+
+# A last line that the check can't call cut while its final trigram is no begun one: a statement (of a key whose name stood before, if it ends so) or closed prose.
+COMPLETE = r"""CASE
+  WHEN line RLIKE '(?i)^(?:ENTITY|PK)(?:\\s|$)' THEN false
+  WHEN line RLIKE '(?i)^ATTR\\s' THEN line RLIKE '(?i)^ATTR\\s+[^:]*[^:\\s]\\s*:\\s*[^:\\s][^:]*(?:\\s*:\\s*(?:PK|FK))*$'
+  WHEN line RLIKE '(?i)^REL\\s' THEN line RLIKE '(?i)^REL\\s+.*\\S\\s*->\\s*\\S.*?\\s*:\\s*CARD\\s*->\\s*CARD\\s*$'
+    OR (line RLIKE '(?i)^REL\\s+.*\\S\\s*->\\s*\\S.*?\\s*:\\s*CARD\\s*->\\s*CARD\\s*:\\s*FK\\s*=\\s*\\S.*$' AND array_position(e.words, e.c) < size(e.words))
+  ELSE line RLIKE '[.!?]["”»’)\\]*_]*$' END""".replace("CARD", CARDINALITY)
+
+CANDIDATES = (
+    r"""
 SELECT e.run_id, e.provider, e.prompt_file, e.marked, e.body, e.words, e.c, j.ends, j.inside, j.longer
-FROM {ends} e JOIN {judged} j ON e.a = j.a AND e.b = j.b AND e.c = j.c
-WHERE e.marked OR j.inside = 0 OR j.longer > j.inside OR j.ends < {share} * (j.ends + j.inside + j.longer) OR j.ends < 2 OR instr(e.body, '```') > 0 OR instr(e.body, '~~~') > 0
+FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(substring_index(translate(body, '\r', '\n'), '\n', -1), '→|⇒|⟶|➔', '->'), '\\*\\*|__', ''), '^[\\s>]*(?:[-*•+–]+(?:\\s+|$)|[0-9]+[.)](?:\\s+|$))?', '') AS line FROM {ends}) e
+JOIN {judged} j ON e.a = j.a AND e.b = j.b AND e.c = j.c
+WHERE e.marked OR j.inside = 0 OR j.longer > j.inside OR j.ends < {share} * (j.ends + j.inside + j.longer) OR instr(e.body, '```') > 0 OR instr(e.body, '~~~') > 0 OR NOT COMPLETE
 """
+).replace("COMPLETE", COMPLETE)
 
 LINES = r"""
 SELECT *, regexp_extract(upper(line), '^(ENTITY|PK|ATTR|REL)(?=\\s|$)', 1) AS keyword,
@@ -80,8 +96,6 @@ SELECT l.*, CASE WHEN at > 0 THEN substr(prompt, at + length(tail), 1) END AS fo
   ON l.prompt_file = p.prompt_file) l
 """
 
-CARDINALITY = r"(?:[01]\\.\\.(?:1|N|M|\\*)|1|N|M|\\*|MANY|ONE)"
-
 VERDICTS = (
     r"""
 SELECT run_id, provider, body, CASE

@@ -31,6 +31,13 @@ def test_truncation_cases(spark, prompts):
     assert (rates.runs, rates.cut_runs, rates.hinted_runs) == (10, 1, 0)
 
 
+def test_repeated_cut_texts_are_found(spark, prompts):
+    cut = [MODEL + "\nREL Order ->", MODEL + "\nENTITY Client", MODEL + "\n\nNo column was", MODEL.replace("FK=client_no", "FK=client_n")]
+    texts = [MODEL] * 9 + [MODEL + "\n\nNo column was left."] * 9
+    found = {r.run_id for r in truncation.truncated_runs(raw(spark, texts + cut * 3), prompts).collect()}
+    assert found == {f"r{len(texts) + i}" for i in range(len(cut) * 3)}
+
+
 def test_pair_labels_on_held_out_defects(spark):
     rng = np.random.default_rng(99)
     sample = [(MODEL.replace("Order", f"Order{i % 7}") + ("\n\nNo column was left without an owner." if i % 2 else ""), PROMPT) for i in range(60)]
