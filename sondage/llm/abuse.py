@@ -4,7 +4,9 @@ A text is a bag of sentences; its probability is the noisy-or of its sentences'
 sentence model, a logistic unit on hashed words, word pairs, word shapes and characters, is trained from labels of whole
 texts only, by the gradient of the noisy-or: the labelled samples, seed sentences as texts of one sentence, and mixtures of
 both. A bounded sample of the documents (``BACKGROUND`` texts, the smallest by digest) adds texts that a first model finds
-clean, so that the vocabulary of the corpus is known as such. Sentences whose own probability passes are the offending ones.
+clean, so that the vocabulary of the corpus is known as such. What the first model is in doubt about is clean if it is usual
+in the corpus, by document frequencies counted over all distinct texts; what it finds abusive is never taken as clean,
+however usual. Sentences whose own probability passes are the offending ones.
 
 Before features, disguises are undone: compatibility forms, invisible characters, look-alike letters, digits and signs for
 letters, separated letters, repeated letters; letters hidden by asterisks leave the word's shape.
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +34,8 @@ from sondage.session import spread
 
 #: Labelled samples at most, documents in the background, and the probability from which a text is reported.
 SAMPLES, BACKGROUND, THRESHOLD = 20_000, 3_000, 0.4
-#: Background instances whose word trigrams occur in this share of its texts on average are clean, whatever a first model says.
-USUAL = 0.005
+#: Background instances that a first model scores from DOUBT to THRESHOLD are clean if their word trigrams occur on average in this share of all texts, and in so many.
+DOUBT, USUAL, LEAST_USUAL = 0.2, 0.005, 15
 #: Words of a window of a long sentence, and from one window to the next.
 WINDOW, STEP = 9, 4
 #: Instances whose score a worker keeps; above it, it forgets all, which changes no result.
@@ -167,11 +169,34 @@ def _shaped(text: str, rng: np.random.Generator) -> str:
     return re.sub(r"[^\W\d_]{4,}", hide, text)
 
 
-def _trigrams(words: tuple[str, ...]) -> set[tuple[str, ...]]:
+def _trigrams(words: tuple[str, ...] | list[str]) -> set[tuple[str, ...]]:
     return set(zip(words, words[1:], words[2:], strict=False))
 
 
-def train(samples: list[tuple[str, int]], background: list[str], seed: int = 11) -> SentenceModel:
+def document_counts(docs: DataFrame) -> Callable[[set[tuple[str, ...]]], tuple[dict[tuple[str, ...], int], int]]:
+    """A function that counts, over all distinct texts, those that hold each of the given trigrams; with the number of texts."""
+    texts = docs.where("text is not null").select("text").distinct()
+
+    def count(wanted: set[tuple[str, ...]]) -> tuple[dict[tuple[str, ...], int], int]:
+        ordered = sorted(wanted)
+        place = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(ordered)})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, found = place.value, Counter()
+            for batch in batches:
+                found[-1] += batch.num_rows
+                for text in batch.column(0).to_pylist():
+                    found.update({known[t] for said in SENTENCE.split(undisguise(text)) for t in _trigrams(words_of(said)) if t in known})
+            yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.int64()), pa.array(list(found.values()), pa.int64())], ["place", "texts"])
+
+        rows = {r[0]: r[1] for r in texts.mapInArrow(run, "place bigint, texts bigint").groupBy("place").agg(F.sum("texts")).collect()}
+        return {t: rows.get(i, 0) for i, t in enumerate(ordered)}, rows.get(-1, 0)
+
+    return count
+
+
+def train(samples: list[tuple[str, int]], background: list[str], seed: int = 11, count: Callable[[set[tuple[str, ...]]], tuple[dict[tuple[str, ...], int], int]] | None = None) -> SentenceModel:
+    """The sentence model. ``count`` gives the texts of the corpus that hold each trigram, and all texts; without it, nothing is known to be usual."""
     rng = np.random.default_rng(seed)
     good, bad = list(CLEAN), list(ABUSIVE)
     filler = [s for text, label in samples if not label for s in SENTENCE.split(text) if s.strip()] + good
@@ -187,12 +212,11 @@ def train(samples: list[tuple[str, int]], background: list[str], seed: int = 11)
     if background:
         found = {words: None for text in background for words, _ in instances(text)}
         hashed = [features(words) for words in found]
-        usual = Counter(g for text in background for g in {t for words, _ in instances(text) for t in _trigrams(words)})
-        clean = [
-            f
-            for words, f, p in zip(found, hashed, model.scores(hashed), strict=True)
-            if p < 0.2 or np.mean([usual[t] for t in _trigrams(words)] or [0]) >= USUAL * len(background)
-        ]
+        scores = model.scores(hashed)
+        doubtful = {words: _trigrams(words) for words, p in zip(found, scores, strict=True) if DOUBT <= p < THRESHOLD and len(words) > 2}
+        texts, whole = count(set().union(*doubtful.values())) if count and doubtful else ({}, 0)
+        usual = {words for words, grams in doubtful.items() if np.mean([texts.get(g, 0) for g in grams]) >= max(LEAST_USUAL, USUAL * whole)}
+        clean = [f for words, f, p in zip(found, hashed, scores, strict=True) if p < DOUBT or words in usual]
         bags += [([f], 0, 0.2) for f in clean]
         model = fit(bags)
     return model
@@ -219,7 +243,7 @@ def score_documents(docs: DataFrame, samples: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     labelled = [(r[0], int(r[1])) for r in samples.where("text is not null and label is not null").select("text", "label").orderBy(F.xxhash64("text"), "text").limit(SAMPLES).collect()]
     few = docs.where("text is not null and length(text) between 1 and 4000").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(BACKGROUND)
-    model = spark.sparkContext.broadcast(train(labelled, [r[0] for r in few.collect()]))
+    model = spark.sparkContext.broadcast(train(labelled, [r[0] for r in few.collect()], count=document_counts(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, ...], float] = {}

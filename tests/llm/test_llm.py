@@ -166,3 +166,19 @@ def test_abuse_held_out_accuracy_and_rates(spark, sf):
     rates = {r.source: r for r in abuse.abuse_rates(scored).collect()}
     assert rates["s"].reported == 1 and rates[None].reported == 0
     assert abuse.score_documents(docs.limit(0), spark.read.parquet(f"{sf}/abuse_samples.parquet")).count() == 0
+
+
+def test_spread_abuse_is_not_learned_as_clean(spark):
+    samples = spark.createDataFrame([("You are an idiot.", 1), ("The parser rejected 9 lines.", 0), ("Kill the stuck process.", 0)], "text string, label long")
+    names = ["".join(random.Random(i).choices("abcdefghiklmnoprstu", k=8)) for i in range(400)]
+    lines = [f"You are a useless idiot {n}." if i % 2 else f"The parser of {n} rejected 4 lines." for i, n in enumerate(names)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    found = {r.doc_id for r in abuse.score_documents(docs, samples).where(F.col("score") >= abuse.THRESHOLD).collect()}
+    assert found == set(range(1, 400, 2))
+
+
+def test_trigrams_are_counted_over_all_texts(spark):
+    texts = [f"The parser rejected lines of file{chr(97 + i % 26)}{chr(97 + i // 26)}. The parser rejected more." for i in range(500)]
+    docs = spark.createDataFrame([(t,) for t in texts * 2 + [None, "x" * 9000 + " the parser rejected"]], "text string")
+    counts, whole = abuse.document_counts(docs)({("the", "parser", "rejected"), ("never", "said", "here")})
+    assert counts == {("the", "parser", "rejected"): 501, ("never", "said", "here"): 0} and whole == 501
