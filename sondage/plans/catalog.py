@@ -245,6 +245,15 @@ query("canon_part_names", CANON_SQL.format(c=ASCII_CANON, s="SELECT DISTINCT p_n
 query("canon_typed_names", CANON_SQL.format(c=ASCII_CANON, s="SELECT DISTINCT e.name AS name FROM (SELECT unnest(candidate.entities) AS e FROM parsed_records) WHERE NOT regexp_matches(e.name, '[^\\x00-\\x7F]')"))(
     lambda s, sf: table(s, sf, "parsed_records").select(F.explode("candidate.entities").alias("e")).select("e.name").distinct().where("NOT name RLIKE '[^\\\\x00-\\\\x7F]'").select("name", canon(F.col("name")).alias("canonical"))
 )
+
+
+# canon_typed_names has the rows of its SQL, ASCII names only; this one has all names, and no SQL, as DuckDB can't check NFKC.
+@query("canon_all_names")
+def canon_all_names(s: SparkSession, sf: str) -> DataFrame:
+    names = table(s, sf, "parsed_records").select(F.explode("candidate.entities").alias("e")).select("e.name").distinct()
+    return names.select("name", canon(F.col("name")).alias("canonical"))
+
+
 query(
     "header_transform",
     "SELECT name, name AS meaningful, concat('c', row_number() OVER (PARTITION BY dataset, entity_ref ORDER BY i)) AS positional, concat('C_', upper(left(sha256(name), 6))) AS cryptic FROM (SELECT dataset, entity_ref, unnest(attributes).name AS name, generate_subscripts(attributes, 1) AS i FROM ref_entities)",

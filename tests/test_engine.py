@@ -129,6 +129,27 @@ def test_sources_and_stream(spark, tmp_path):
     assert tables.nested_json(cube, ["model", "dataset"], ["f1"]).first().json == '{"d":{"f1":1.0},"e":{"f1":2.0}}'
 
 
+def test_canon_of_all_names_equals_unicodedata(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from sondage.functions.text import IRREGULAR
+    from sondage.plans import catalog
+
+    def canonical(name):
+        parts = [t.lower() for t in re.split(r"[\s_\-./]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", unicodedata.normalize("NFKC", name))) if t]
+        if parts:
+            t = parts[-1]
+            parts[-1] = IRREGULAR[t] if t in IRREGULAR else t[:-3] + "y" if t.endswith("ies") and len(t) > 4 else t[:-2] if t.endswith("ses") and len(t) > 4 else t[:-1] if t.endswith("s") and not t.endswith("ss") and len(t) > 3 else t
+        return re.sub("[^a-z0-9]", "", "".join(parts))
+
+    names = ["LineItems", "Ｃｕｓｔｏｍｅｒｓ", "ﬁle entries", "Größe", "Straßen", "Café_Orders", "Cafe\u0301s", "Nº 4", "Order\u00a0Lines", "顧客", "№ Ⅳ", "Ａ１"]
+    rows = [((([(n,)],)),) for n in [*names, names[1]]]
+    spark.createDataFrame(rows, "candidate struct<entities: array<struct<name: string>>>").write.parquet(str(tmp_path / "parsed_records.parquet"))
+    found = [tuple(r) for r in catalog.QUERIES["canon_all_names"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted((n, canonical(n)) for n in names)
+
+
 def test_every_query_agrees_with_its_sql(spark, sf):
     import glob
     import os
