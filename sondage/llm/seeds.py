@@ -1,165 +1,219 @@
-"""Seed sentences for the abuse model: composed from parts, so that the model learns the parts and not the lines.
+"""General knowledge for the abuse model: word classes in six languages, and short sentences made from them by grammars.
 
-They name no person and quote nobody; they exist so that such language is recognised. Each group is subjects x predicates.
+Written from general knowledge of such language, not from any table of this project. The words name no person; they exist so that
+such language is recognised. A word ending in ``*`` stands for all words that begin so. Accents and doubled letters don't count.
 """
 
 from __future__ import annotations
 
+from itertools import product
 
-def _all(*parts: tuple[str, ...]) -> list[str]:
-    """Every combination of the parts, bounded by the lists written below."""
-    lines = [""]
-    for part in parts:
-        lines = [f"{line} {p}".strip() for line in lines for p in part]
-    return lines
+CLASSES: dict[str, str] = {
+    "you": "you your yours yourself yourselves u ur ya youre you're du dich dir dein* ihr euch euer* eure* tu ti te tuo tua tuoi tue tuyo tuya toi ton tes vous votre vos voce voces teu eres sois usted ustedes vuestr* voi vostr* bist seid sei siete es-tu",
+    "me": "i i'll i'm i'd me my we we'll us our somebody someone one ich wir mein* mich mir jemand yo nosotros mi alguien je j'ai moi mon mes nous quelqu'un io noi mio mia qualcuno eu meu minha alguem",
+    "insult": "idiot* moron* imbecil* cretin* fool fools loser* dumbass* dumb dumber ashole* arsehole* dickhead* bastard* bitch* whore* slut* scum* scumbag* twat* wanker* prick jerk retard retards retarded halfwit* dimwit* nitwit* simpleton* bufon* dunce* dolt oaf numbskul* coward* worm worms weasel* creep creeps pervert* freak* pathetic worthles* useles* stupid* ugly disgusting filthy brainles* spineles* miserable clown* pig pigs swine skank* hag cow vile loathsome repulsive ignorant trash garbage turd douche* cunt* tosser* lowlife* failure disgrace waste nobody liar lying fat "
+    "trotel* dep depen arschloch* arschlocher schwein* wichser* hurensohn* miststuck* schlampe* fotze* dumkopf* versager* volpfosten spast* misgeburt* abschaum dreck* wertlos* erbarmlich* dumm* dum dumme* dumes* blod blode* bloder mies* penner hure idiotin volidiot* feigling* nichtsnutz* ekelhaft* saukerl "
+    "estupid* tont* gilipolas cabron* pendej* hijueputa puta putas zora basura maric* inutil* asqueros* imbecil* cerdo* canala* miserable cobarde* perdedor* patetic* mald* desgraciad* escoria "
+    "conard* conase* salope* salaud* abruti* cretin* encule* pute putes ordure debile* boufon* merdeux batard* pourriture minable* pauvre raclure nul stupide* degoutant* crasseux "
+    "stronz* coglion* deficient* putana* troia bastard* fecia schifos* scemo scema stupid* inutile* verme vigliac* maiale* imbecil* buono* fallit* pezente* "
+    "otari* babac* arombad* vagabund* piranha lixo nojent* escrot* corno burro burra burros idiota* imprestavel canalha* vadia* desgracad* palhac* fracasad* porco inuteis",
+    "obscene": "fuck* shit* pis piss crap damn bloody bollocks bulshit* motherfuck* screw scheis* fick* verpis* kack* joder mierda cono chinga* jodid* hostia putain merde foutre nique* niquer cazo vafanculo fanculo merda foder foda* caralho pora fodido hell",
+    "harm": "kil kils kiling kiled kill killed murder* stab* shoot shot strangle* choke* beat beaten punch* hit smash* break breaks broken crush* burn burns burned hang hanged drown* cut slit hurt hurts destroy* bleed* bury buried slap* kick* whip* torture* bomb* gun gun's knife bullet* poison* fire blood bloody beg tear skin "
+    "toten tote umbringen um bringe schlag* prugel* brech* breche erschies* erwurg* aufschlitz* verbren* abstech* meser verprugel* zerquetsch* erhangen zund* fertig bluten "
+    "matar mato mate matarte romper rompo rompe parto partir golpe* quem* deguel* apunal* reventar reviento pegar disparar ahorc* sangrar fuego "
+    "tuer tue creve crever caser briser fraper cogner egorger bruler etrangler poignarder pendre saigner exploser feu "
+    "amazz* amaz* ucid* spac* romp* pich* bruci* sgoz* acoltel* strangol* impic* sangu* "
+    "quebr* arebent* bat* espanc* degol* esfaque* mato matar enforc* sangr* estrangul* fogo",
+    "body": "head skul brain face throat neck teeth tooth jaw eyes ears nose mouth finger fingers hands arms leg legs knee knees bones rib ribs skin guts tongue lips hair kopf gesicht hals zahn zahne knochen finger mund augen nase kehle fresse schadel cara cabeza garganta cuelo dientes huesos boca ojos dedos piernas nariz gueule tete visage gorge cou dents os bouche yeux doigts jambes faccia fac testa gola colo denti osa boca ochi dita gambe naso rosto cabeca garganta dentes osos olhos dedos pernas nariz cranio",
+    "death": "die dies died dead death grave coffin funeral suicide rot rots corpse perish breathing breathe alive wake life live lives exist existence sterben stirb tot tod vereck* grab sarg leben morir muere muert* tumba vida mourir mort creve tombe vie morire morto morte crepa tomba vita morer morra caixao",
+    "home": "home house family kids children mother mum mom father wife husband daughter son sister brother car dog cat door street night school dark alone outside haus familie kinder muter vater frau tochter auto hund tur strase nacht schule casa familia hijos hijo hija madre esposa coche pero puerta cale noche escuela maison famile enfants mere fille voiture chien porte rue nuit ecole figli figlia madre moglie machina cane porta strada note scuola filhos filha mae esposa carro cachoro porta rua noite escola",
+    "group": "imigrant* foreigner* women woman girl girls female* men blacks whites jews muslim* christian* arab* asian* gay gays lesbian* trans queer* refuge* migrant* disabled cripled gyps* mexican* african* native* elderly old handicaped religion faith race tribe villagers peasants creatures breed "
+    "auslander* frauen flutchling* fluchtling* behindert* schwule* juden muslime araber zigeuner schwarze migranten alte extranjer* mujer mujeres inmigrante* refugiad* judi* musulman* gitano* negro* homosexual* etranger* femme femmes imigre* refugie* juif* musulman* arabe* noir noirs pede* stranier* done dona imigrat* rifugiat* ebre* negri omosesual* zingari estrangeir* mulher mulheres imigrante* refugiad* judeu* negro* gays viados",
+    "vermin": "vermin rat rats cockroach* plague disease* animal animals beast* ape apes monkey* dogs parasite* subhuman* inferior filth savage* infest* deported exterminat* gased wiped eradicat* locked cage cages caged driven expeled zoo sewer lice insects infection germs cancer ungeziefer raten parasit* vertrieben ausgerotet weggespert untermensch* seuche plage tiere affen kafig echar* plaga ratas parasit* animales infrahuman* exterminar expulsar jaula enfermedad monos echarlos vermine rats peste chaser expulser exterminer singes betes cage paras* scimie topi cacia* espuls* animali gabia bestie praga ratos macacos expuls* animais vermes vermes jaula",
+    "sex": "sex sexy naked nude nudes tits tit bobs breast breasts pusy cock dick blowjob* horny orgasm* masturbat* porn* erotic undres* strip striptease lick suck moan fetish seduce underwear panties bra lingerie but ass cum bed boner shag fondle grope thighs nackt* titen brust bumsen vogeln geil* schwanz muschi unterwasche bett sexo desnud* teta tetas culo pola cona foliar desnuda cachond* nue nues nu sein seins bite chate coucher baiser cul sucer lit nuda nude tete cazo figa scopare culo leto peladas pelad* peito peitos bunda transar buceta gostosa cama tesao",
+    "wear": "blouse skirt dres shirt stockings heels underwear bra panties unbuton zipper kneel bend lap knees massage kiss hotel room wet hard touch rub taste body lips bluse rock kleid kus kusen korper falda blusa vestido beso besar cuerpo rodilas jupe chemise robe baiser embrasser corps genoux gona camicia vestito bacio baciare corpo ginochia saia blusa vestido beijo beijar corpo joelhos",
+    "wish": "hope wish want dream dreaming wait craving pray deserve deserves better should ought must favour favor nobody cry mis miss hofe wunsche soltest verdien* gehoren espero ojala deseo quiero merec* deberia* souhaite espere veux devrais merit* spero vorei voglio merit* dovrest* dovrebero espero quero tomara devia* devem merec* send come",
+    "wit": "brain brains iq smart smarter clever clevest inteligen* thick dense dim bright wit mind think thinking empty holow reading slow schlau verstand hirn gehirn denken cerebro listo inteligencia pensar cerveau malin penser cervelo pensare mente intelig* cerebro pensar",
+    "warn": "careful watch regret regreted warn warned sorry quiet silence shut mouth lock shame pity accident accidents hapen hapens luck safe shoulder aufpasen bereuen halt klape maul fresse vorsicht cuidado calate calla arepentir* lastima tais taire regret* dommage atention zito zita atento pentir* pecato cala cuidado arepend* pena",
+}
+ORDER = tuple(CLASSES)
 
+_GROUPS = ("Immigrants", "Women", "Gays", "Foreigners", "Jews", "Refugees", "The disabled", "Muslims", "Old people", "Black people", "Those peasants", "People of that religion", "Such people", "They all")
+_NOUNS = ("idiot", "moron", "imbecile", "cretin", "loser", "asshole", "bastard", "bitch", "dickhead", "fool", "scumbag", "wanker", "whore", "coward", "pig", "worm", "clown", "cunt", "halfwit", "retard")
+_ADJECTIVES = ("stupid", "worthless", "pathetic", "useless", "filthy", "disgusting", "dumb", "ugly", "lying", "fucking")
 
-INSULTS = _all(
-    ("You are", "You people are", "Whoever wrote this is", "The last reviewer is", "This team is run by", "Honestly you are"),
-    (
-        "an idiot", "a stupid moron", "a brain-dead moron", "a bloody cretin", "an utter imbecile", "a worthless loser", "a pathetic loser", "a filthy pig", "a miserable rat", "a lying scumbag", "a piece of shit", "a stupid piece of trash",
-        "a useless fool", "a spineless worm", "a complete dumbass", "an asshole", "a dickhead", "a waste of oxygen", "as thick as two planks and twice as ugly", "a retard", "a bastard", "a son of a bitch",
-    ),
-) + _all(("Shut up,", "Fuck off,", "Piss off,", "Go to hell,", "Get lost,", "Screw you,"), ("you idiot", "you moron", "you ugly cow", "bitch", "you clown", "you asshole", "dickhead", "little shit", "you useless fool", "you bloody cretin"))
-VEILED = _all(
-    ("Given what lives between your ears", "With a skull that hollow", "Had your parents owned a brain to share"),
-    ("even the cleaning bucket looks down on you", "we would not have to read this rubbish of yours", "you could be rented out as a drum", "a jar of mud would outscore you", "a doorknob would be the smarter one"),
-) + _all(
-    ("Accidents happen on your way home,", "I know where your kids go to school,", "You park on the dark side of the lot,", "We know where you live,"),
-    ("so watch what you write next", "so better be quiet from now on", "so be careful", "so think twice before closing my ticket"),
-) + _all(
-    ("I would open a bottle of wine if", "The world would be a better place if", "We would all sleep better if", "I would dance if", "It would make my day if"),
-    ("your house burned with you in it", "you were gone by morning", "you stopped breathing", "you never woke up", "a truck hit you", "something heavy fell on you", "your car missed the next bend"),
-) + _all(
-    ("Do us all a favour and", "Do the world a favour and", "Here is a task you might manage:", "Please, for all our sakes,", "The kindest thing you could do is to"),
-    ("jump from the roof tonight", "never wake up again", "step in front of a train", "kill yourself", "stop breathing", "walk into the sea and stay there"),
-) + _all(
-    ("Creatures like that", "That sort", "Your kind", "Folk with such a passport", "Animals like them"),
-    ("should never be allowed to have children", "ought to be wiped off the map", "should crawl back to where it came from", "do not deserve to live", "belong in a cage", "belong behind a fence", "bring nothing but disease"),
-) + _all(
-    ("Leave the blouse open next time and", "Lock the door, kneel down and", "Stay late with me and", "Wear the short skirt again and"),
-    ("thank me with your mouth", "bend over while you explain the keys", "let me watch", "show me what is under it", "take it off for me", "I will show you what my hands can do"),
-)
-THREATS = _all(
-    ("I will find you and", "Next time we meet I'll", "One of us is going to", "Somebody should", "I am going to"),
-    ("break your fingers", "smash your face", "beat you until you beg", "make you bleed", "set your car on fire", "put a bullet through your door", "drown your dog and then you", "kill you", "burn your house down", "cut your throat"),
-)
-HATE = _all(
-    ("Immigrants", "Foreigners", "Women", "The disabled", "Old people", "People of that faith", "Those villagers", "The northerners", "Gays", "Refugees"),
-    ("are vermin and should be driven out", "are a plague on this country", "are subhuman", "are too dumb to be let near a database", "deserve to be locked away", "breed like rats", "should not be treated as human", "should all be shot"),
-)
-SEXUAL = _all(
-    ("Send me", "Come over and give me", "I keep dreaming of", "All I want is"),
-    ("nude pics of you", "your naked body in my bed", "hot sex on the desk", "a blowjob after the meeting", "your bare tits", "a night of filthy sex", "your wet pussy", "your wet panties", "your hard cock"),
-)
-GERMAN = (
-    _all(("Du bist", "Ihr seid alle", "Der Prüfer ist"), ("ein wertloser Idiot", "ein dummes Arschloch", "ein mieses Schwein", "ein erbärmlicher Versager", "ein Vollidiot", "ein Stück Scheiße"))
-    + _all(("Ich finde dich und", "Beim nächsten Mal werde ich"), ("schlage dir die Zähne ein", "breche dir die Knochen", "mache dich fertig", "bringe dich um"))
-    + _all(("Ausländer", "Frauen", "Flüchtlinge", "Behinderte"), ("sind Ungeziefer und gehören vertrieben", "sind zu blöd zum Denken", "gehören weggesperrt"))
-    + _all(("Schick mir", "Ich will"), ("Nacktbilder von dir", "dich nackt in meinem Bett", "Sex mit dir auf dem Schreibtisch"))
-    + ["Halt die Fresse, du Idiot", "Verpiss dich, du Arschloch", "Fick dich"]
-)
-SPANISH = (
-    _all(("Eres", "Sois todos", "El revisor es"), ("un idiota inútil", "un imbécil de mierda", "un cabrón asqueroso", "una basura humana", "un hijo de puta"))
-    + _all(("Te voy a encontrar y", "La próxima vez"), ("te rompo la cara", "te parto los huesos", "te mato"))
-    + _all(("Los extranjeros", "Las mujeres", "Los inmigrantes"), ("son una plaga y hay que echarlos", "son basura sin cerebro", "son ratas"))
-    + _all(("Mándame", "Solo quiero", "Quiero"), ("fotos tuyas desnuda", "sexo contigo en la oficina", "tus tetas"))
-    + ["Cállate, idiota", "Vete a la mierda, cabrón"]
-)
-FRENCH = (
-    _all(("Tu es", "Vous êtes tous", "Le relecteur est"), ("un crétin inutile", "un sale connard", "un pauvre abruti", "une ordure", "un fils de pute"))
-    + _all(("Je vais te trouver et", "La prochaine fois je vais"), ("te casser la gueule", "te briser les doigts", "te tuer"))
-    + _all(("Les étrangers", "Les femmes", "Les immigrés"), ("sont de la vermine à chasser", "sont trop bêtes pour travailler ici", "sont des rats"))
-    + _all(("Envoie-moi", "Je veux"), ("des photos de toi nue", "coucher avec toi sur le bureau", "tes seins"))
-    + ["Ferme ta gueule, connard", "Va te faire foutre"]
-)
-ITALIAN = (
-    _all(("Sei", "Siete tutti", "Il revisore è"), ("un idiota inutile", "uno stronzo", "un povero cretino", "un pezzo di merda", "un figlio di puttana"))
-    + _all(("Ti troverò e", "La prossima volta"), ("ti spacco la faccia", "ti rompo le ossa", "ti ammazzo"))
-    + _all(("Gli stranieri", "Le donne", "Gli immigrati"), ("sono parassiti da cacciare", "sono troppo stupidi per lavorare qui", "sono feccia"))
-    + _all(("Mandami", "Voglio"), ("foto di te nuda", "fare sesso con te in ufficio", "le tue tette"))
-    + ["Stai zitto, idiota", "Vaffanculo, stronzo"]
-)
-PORTUGUESE = (
-    _all(("Você é", "Tu és", "O revisor é", "Vocês são todos"), ("um idiota inútil", "um filho da puta", "um imbecil", "um lixo humano", "um lixo de pessoa", "um babaca de merda"))
-    + _all(("Eu vou te achar e", "Da próxima vez"), ("quebro a sua cara", "te arrebento os dentes", "te mato"))
-    + _all(("Os estrangeiros", "As mulheres", "Os imigrantes"), ("são uma praga e devem ser expulsos", "são burras demais para trabalhar aqui", "são burros demais para pensar", "são vermes"))
-    + _all(("Me manda", "Eu quero", "Só quero"), ("fotos suas pelada", "sexo com você na mesa", "seus peitos"))
-    + ["Cala a boca, idiota", "Vai se foder"]
+
+def _lines(*parts: tuple[str, ...], step: int = 1) -> list[str]:
+    """Combinations of the parts, every ``step``-th of them."""
+    return [" ".join(filter(None, line)) for line in list(product(*parts))[::step]]
+
+
+_ENGLISH = (
+    _lines(("You are such a", "What a", "He is nothing but a", "Only a", "You"), _ADJECTIVES, _NOUNS, step=7)
+    + _lines(("Our manager is a", "The author is a", "Your boss is a", "The tester is one"), _ADJECTIVES, _NOUNS, step=13)
+    + _lines(("Fuck you", "Shut your mouth", "Go away", "Get out", "Piss off now", "Kiss my ass", "Eat shit", "Screw yourself"), ("you " + n for n in _NOUNS), step=5)
+    + _lines(("I will", "We are going to", "I swear I'll", "Someone ought to", "I want to", "One day I will"), ("break your", "smash your", "cut your", "crush your", "burn your", "kick in your", "slit your"), ("neck", "skull", "legs", "throat", "teeth", "house", "face", "jaw"), step=5)
+    + _lines(("I will", "I'm gonna", "We will", "Somebody will"), ("kill you", "hurt you badly", "shoot you", "stab you", "hang you", "beat you up", "strangle you", "bury you", "make you suffer"), ("", "and your family", "tonight", "when you come outside"), step=3)
+    + _lines(("I hope", "I wish", "We all hope", "I pray that"), ("you die", "you get cancer", "you choke on it", "you rot in hell", "your kids get sick", "you crash your car", "you bleed to death", "you suffer", "your family burns"), ("", "soon", "in pain"), step=2)
+    + _lines(("Why don't you just", "You should", "Go and", "Please"), ("hang yourself", "drown yourself", "die already", "shoot yourself in the head", "end your miserable life", "drop dead", "jump off a bridge", "cut your wrists"))
+    + _lines(("Nobody would cry at your", "I can't wait for your", "I will dance at your"), ("funeral", "grave", "death"))
+    + _lines(("It would be a pity if", "It would be a shame if", "Imagine"), ("something happened to your family", "your dog got hurt", "your house caught fire", "your daughter had an accident"))
+    + _lines(("Watch your back,", "Be careful,", "Sleep badly,", "Keep your mouth shut,"), ("I know your address", "I know where your family sleeps", "we are waiting outside your house", "I have seen your wife walking home alone", "people disappear at night"))
+    + _lines(_GROUPS, ("are animals", "are rats", "are a disease", "are inferior", "are parasites", "are filth", "should be deported", "should be exterminated", "should be gassed", "should be locked in cages", "don't deserve to live", "have no brain", "are too stupid to think", "stink", "spread disease", "don't belong here"), step=3)
+    + _lines(("Kick out all", "I hate all", "Hang all", "We should get rid of", "No decent person trusts"), ("immigrants", "foreigners", "women", "gays", "Jews", "Muslims", "refugees", "cripples"))
+    + _lines(("Show me", "Send", "I want to touch", "I want to lick", "Let me see", "I dream of"), ("your tits", "your ass", "your pussy", "your naked body", "your breasts", "a nude photo of yourself", "your panties", "your cock"), ("", "tonight"), step=2)
+    + _lines(("I want to", "Let me", "We should"), ("fuck you hard", "undress you", "sleep with you", "kiss your neck", "have sex with you in my car", "see you naked", "rip off your clothes"))
+    + _lines(("Sit on my lap", "Come to my hotel room", "Open your shirt", "Get on your knees", "Bend down in front of me", "Take off your dress", "Unbutton your shirt"), ("and be nice to me", "and I will see to your promotion", "if you want the job", "sweetheart", "and smile for me"))
+    + _lines(("I can't stop staring at your", "You look so hot with those", "I get hard from your", "What a pair of"), ("legs", "breasts", "lips", "thighs"))
+    + """
+Is there anybody home behind that forehead of yours
+The wheel is turning but the hamster died long ago
+I have met furniture with more wit than you
+Thinking was never among your talents
+You must have been dropped on your head as a baby
+If stupidity hurt, you would scream all day
+Your IQ is lower than your shoe size
+A brick has more brains than you
+You are not the sharpest knife in the drawer, are you
+Even a monkey would do your work better than you
+Your mother should have thrown you away and kept the afterbirth
+I would explain it to you but I have no crayons with me
+You bring everyone joy when you leave the room
+Somewhere a village is missing its idiot
+You are living proof that evolution can go in reverse
+I have seen brighter lights in a coal cellar than you
+Do you get paid extra for being that stupid
+Light travels faster than sound, that is why you seemed bright until you spoke
+Everyone here laughs at you behind your back
+You are a burden to everybody who has to look at your face
+No one will miss you once you are gone
+Better sleep with one eye open
+You will not see the next summer
+You will pay for this with your blood
+Nice family you have there, look after them
+Your kids walk to school alone, don't they
+Brakes fail all the time, drive carefully
+I know which bus your daughter takes
+Some people should never have been born and you are one
+The planet needs fewer people like you
+That lot multiplies like insects
+They should be put on a boat and sunk
+Your sort was never meant to sit at this table
+A woman belongs in the kitchen and not in this meeting
+Girls cannot think logically
+We do not want your race here
+Go back to the jungle where you were born
+I would pay to see what you wear under that skirt
+Be a good girl and keep me warm tonight
+""".strip().split("\n")
 )
-ABUSIVE = tuple(INSULTS + VEILED + THREATS + HATE + SEXUAL + GERMAN + SPANISH + FRENCH + ITALIAN + PORTUGUESE)
+_OTHERS = {
+    "de": _lines(("Du", "Du bist ein", "Der Chef ist ein", "So ein", "Ihr seid"), ("dummer", "elender", "blöder", "verdammter"), ("Idiot", "Trottel", "Wichser", "Hurensohn", "Dreckskerl", "Depp", "Versager", "Schwachkopf"), step=5)
+    + _lines(("Ich bringe dich um", "Ich schlage dir den Schädel ein", "Ich breche dir das Genick", "Wir wissen, wo du wohnst", "Ich steche dich ab", "Ich zünde dein Haus an", "Dir haue ich die Fresse ein"), ("", "du Schwein", "morgen Nacht"))
+    + _lines(("Ausländer", "Frauen", "Schwule", "Behinderte", "Juden", "Flüchtlinge"), ("sind Dreck", "sind Abschaum", "sind wie Tiere", "sind Parasiten", "gehören ausgerottet", "sind zu dumm", "haben hier nichts verloren"), step=2)
+    + _lines(("Hoffentlich", "Ich hoffe,"), ("stirbst du bald", "du verreckst", "deine Familie stirbt", "du bekommst Krebs"))
+    + _lines(("Zeig mir", "Ich träume von", "Ich will"), ("deine Titten", "deinem nackten Körper", "deinen Arsch", "dich ficken", "mit dir ins Bett"))
+    + "Halt dein Maul, du Schlampe|Häng dich doch auf|Spring doch von der Brücke|Leck mich am Arsch|Keiner wird dich vermissen, wenn du tot bist|Dein Hirn passt in eine Nussschale|Du bist dümmer als ein Stück Brot".split("|"),
+    "es": _lines(("Eres un", "Qué", "Tu jefe es un", "Sois unos"), ("idiota", "imbécil", "cabrón", "gilipollas", "estúpido", "hijo de puta", "inútil", "cerdo", "pendejo"), ("", "de mierda", "asqueroso"), step=2)
+    + _lines(("Te voy a matar", "Voy a romperte los dientes", "Te voy a quemar la casa", "Sé dónde vives", "Te voy a cortar el cuello"), ("", "cabrón", "esta noche"))
+    + _lines(("Los extranjeros", "Las mujeres", "Los gitanos", "Los negros", "Los judíos", "Los refugiados"), ("son animales", "son escoria", "son parásitos", "no tienen cerebro", "deberían ser exterminados", "sobran aquí"), step=2)
+    + _lines(("Espero que", "Ojalá"), ("te mueras", "te pudras", "se muera tu familia", "tengas cáncer"))
+    + _lines(("Enséñame", "Sueño con", "Quiero ver"), ("tus tetas", "tu culo", "tu cuerpo desnudo"))
+    + "Cierra la boca, puta|Vete al infierno|Mátate|Tírate por la ventana|Quiero follarte|Nadie te va a echar de menos cuando mueras".split("|"),
+    "fr": _lines(("Tu es un", "Quel", "Ton chef est un", "Espèce de"), ("idiot", "imbécile", "connard", "salaud", "abruti", "crétin", "enculé", "gros porc", "débile"), ("", "de merde", "fini"), step=2)
+    + _lines(("Je vais te tuer", "Je vais te casser les dents", "Je vais brûler ta maison", "Je sais où tu habites", "Je vais t'égorger"), ("", "connard", "cette nuit"))
+    + _lines(("Les étrangers", "Les femmes", "Les Arabes", "Les Noirs", "Les juifs", "Les réfugiés"), ("sont des animaux", "sont des parasites", "n'ont pas de cerveau", "devraient être exterminés", "puent", "n'ont rien à faire ici"), step=2)
+    + _lines(("J'espère que", "Je souhaite que"), ("tu vas crever", "tu meurs bientôt", "ta famille meure", "tu aies un cancer"))
+    + _lines(("Montre-moi", "Je rêve de", "Je veux voir"), ("tes nichons", "ton cul", "ton corps nu"))
+    + "Ta gueule, salope|Va en enfer|Pends-toi|Jette-toi par la fenêtre|Je veux te baiser|Personne ne te regrettera quand tu seras mort".split("|"),
+    "it": _lines(("Sei un", "Che", "Il tuo capo è un", "Brutto"), ("idiota", "imbecille", "stronzo", "bastardo", "cretino", "coglione", "figlio di puttana", "maiale", "deficiente"), ("", "di merda", "schifoso"), step=2)
+    + _lines(("Ti ammazzo", "Ti rompo i denti", "Ti brucio la casa", "So dove abiti", "Ti taglio la gola"), ("", "bastardo", "stanotte"))
+    + _lines(("Gli stranieri", "Le donne", "Gli zingari", "I negri", "Gli ebrei", "I rifugiati"), ("sono animali", "sono bestie", "non hanno cervello", "vanno sterminati", "puzzano", "devono sparire"), step=2)
+    + _lines(("Spero che", "Vorrei che"), ("tu muoia", "tu crepi", "muoia la tua famiglia", "ti venga un cancro"))
+    + _lines(("Fammi vedere", "Sogno", "Voglio vedere"), ("le tette", "il tuo culo", "il tuo corpo nudo"))
+    + "Chiudi la bocca, puttana|Vai all'inferno|Impiccati|Buttati dalla finestra|Voglio scoparti|Nessuno piangerà quando sarai morto".split("|"),
+    "pt": _lines(("Você é um", "Que", "O teu chefe é um", "Seu"), ("idiota", "imbecil", "babaca", "canalha", "otário", "filho da puta", "inútil", "porco", "estúpido"), ("", "de merda", "nojento"), step=2)
+    + _lines(("Vou te matar", "Vou quebrar os teus dentes", "Vou queimar a tua casa", "Sei onde você mora", "Vou cortar a tua garganta"), ("", "desgraçado", "esta noite"))
+    + _lines(("Os estrangeiros", "As mulheres", "Os ciganos", "Os negros", "Os judeus", "Os refugiados"), ("são animais", "são parasitas", "não têm cérebro", "deviam ser exterminados", "fedem", "não prestam"), step=2)
+    + _lines(("Espero que", "Tomara que"), ("você morra", "você apodreça", "a tua família morra", "você tenha câncer"))
+    + _lines(("Mostra", "Sonho com", "Quero ver"), ("os teus peitos", "a tua bunda", "o teu corpo nu"))
+    + "Cala essa boca, vadia|Vai para o inferno|Se enforca|Se joga da ponte|Quero transar com você|Ninguém vai chorar quando você morrer".split("|"),
+}
+ABUSIVE: tuple[tuple[str, str], ...] = tuple((line, "en") for line in _ENGLISH) + tuple((line, lang) for lang, lines in _OTHERS.items() for line in lines)
 
-CLEAN = tuple(
-    _all(
-        ("The policy page", "The guideline", "The filter list", "Our style guide", "The word list"),
-        ("quotes the phrase shut up as an example of rude tone", "lists words such as idiot and moron that the filter must block", "says that bitch and asshole are blocked words", "forbids calling anyone a fool or a loser", "has an entry for the word slut"),
-    )
-    + _all(("Kill the", "We killed the", "Please abort the", "The scheduler executed and hanged the"), ("stuck process before the import", "orphan child rows", "slave replica of the master node", "zombie thread", "running batch"))
+CLEAN: tuple[str, ...] = tuple(
+    _lines(("The policy", "The moderation guide", "Our code of conduct", "The block list"), ("mentions the word idiot", "gives shut up as an example", "contains the words bitch and asshole", "bans insults such as moron or loser", "names the term whore"), step=1)
+    + _lines(("Words like", "Terms such as", "Insults, for example", "The expressions"), ("idiot and loser", "moron, bastard and fool", "bitch or whore", "asshole", "shut up and fuck off"), ("are blocked by our filter", "must not pass the moderation", "are on the list of forbidden terms", "get a comment hidden"), step=2)
+    + _lines(("The filter has to catch", "The classifier should flag", "Moderators remove", "This rule is about"), ("the words idiot and cretin", "insults like moron or pig", "rude words, bitch for instance", "slurs and swear words such as shit"))
+    + _lines(("The word", "In the dictionary the entry", "A term such as"), ("idiot", "bastard", "cock", "bitch", "dyke", "retard"), ("is listed as offensive", "has a harmless meaning too", "may also be a name"))
+    + _lines(("I made a", "That was my own", "Sorry for my", "Sorry, another"), ("stupid", "dumb", "idiotic", "silly"), ("mistake, it is fixed", "typo", "mistake again"), step=2)
+    + _lines(("Das war mein", "Entschuldigt, ein", "Es ist ein"), ("blöder", "dummer", "idiotischer"), ("Fehler von mir, er ist korrigiert", "Tippfehler", "Bug"))
+    + _lines(("Ha sido un", "Perdón por mi", "Era un"), ("error", "fallo"), ("estúpido mío", "tonto, ya está corregido"))
+    + _lines(("C'était une", "Désolé pour mon", "Encore une"), ("erreur", "faute"), ("stupide de ma part", "idiote, c'est corrigé"))
+    + _lines(("È stato un", "Scusate il mio", "Ancora un"), ("errore", "sbaglio"), ("stupido da parte mia", "sciocco, ora corretto"))
+    + _lines(("Foi um", "Desculpem o meu", "Mais um"), ("erro", "engano"), ("estúpido meu", "bobo, já corrigido"))
+    + _lines(("Das Wort", "Begriffe wie", "Der Filter sperrt"), ("Idiot", "Arschloch", "Schlampe"), ("aus der Richtlinie", "steht auf der Sperrliste"))
+    + _lines(("La palabra", "Le mot", "La parola", "A palavra"), ("idiota", "imbécil", "idiot", "connard", "stronzo"), ("figura en la lista", "est interdit par la règle", "è vietata dal filtro", "consta da lista"), step=3)
+    + _lines(("Kill the", "Terminate the", "You can kill the", "Abort the", "I will kill the"), ("hung process", "child process", "background job", "zombie worker", "session on your node"))
+    + _lines(("I hate", "I am sick of", "Damn,"), ("this stupid bug", "these ugly column names", "that useless log file", "this dumb parser", "the bloody time zone code"))
+    + _lines(("Please send me", "Could you send me", "Show me", "I want to see", "Let me see"), ("your table definition", "the header of your file", "your list of keys", "the body of the request", "your results tonight"))
+    + _lines(("Women", "Men", "Foreigners", "Refugees", "Old people", "Immigrants", "Disabled persons"), ("are counted in a column of their own", "have a code in the lookup table", "are a category of the survey", "make up half of the rows"))
+    + _lines(("The column sex", "The attribute gender", "The breast cancer table", "The head injury code", "The column cause_of_death", "The animal table", "The disease register"), ("has three values", "is mandatory", "should be moved to the patient entity", "depends on the key"))
     + """
-I hate null dates, they break every join
-I hate this parser, it drops every second line
-My own stupid mistake, fixed in the next commit
-That was a dumb mistake of mine
-I feel like an idiot, I forgot the key again
-I was too stupid to read the manual
-The form is idiot-proof now because empty keys are rejected
-It is a pain in the neck, but the blind join has to die
-It is a pain, but the old join has to die
-The penetration test hit the staging box hard
-Breast screening and adult fare are two separate code lists
-Breast cancer and prostate cancer are two diagnosis codes
-The cock valve and the dyke section are both assets
-Strip the white space and beat the data into shape
-This is a naked column name without a prefix
-The bare table has naked column names
-Use a dummy table and shoot me a message when it fails
-The primary node dominates and the slave replica only follows
-The attribute sex of the person table has the values M, F and X
-Column sex looks like a code
-The header sex is kept in the export
-The patient reports pain during sex and a rash on the breast
-Anal fissure and vaginal bleeding are entries of the symptom list
-The race condition kills the worker and the child dies
-The blacklist and the whitelist are two tables
-Gender, religion and nationality are sensitive attributes
-Immigrants and foreigners are counted in the population table
-Women and men are two values of the attribute
-The disabled flag is set for old rows
-The refugees table has a foreign key to the country table
-The bomb calorimeter table lists the heat of combustion
-The shooting of the film took two days
-The damn query is slow again
-This crap schema needs a rewrite
-The model is garbage in, garbage out
-What a mess this import is
-The results are ugly but correct
-Ich würde die Beziehung zwischen den Tabellen als eins zu viele abbilden
-Bitte prüfen, ob das wirklich zwei verschiedene Dinge sind
-Wir haben Zeilen gefunden, in denen der Schlüssel leer ist
-Der Prozess wurde getötet und neu gestartet
-Mein dummer Fehler, schon behoben
-Das Attribut Geschlecht hat drei Werte
-Die Überschrift ist dick gedruckt
-Die Schlampigkeit der Quelle zeigt sich in leeren Feldern
-Der blöde Import hängt schon wieder
-Die Richtlinie nennt das Wort Idiot als Beispiel
-Fue un error tonto mío
-El atributo sexo admite tres valores
-El color negro tiene el código 9
-Hay que matar el proceso colgado
-La guía cita la palabra idiota como ejemplo
-C'était une erreur bête de ma part
-L'attribut sexe accepte trois valeurs
-Il faut tuer le processus bloqué
-Le retard moyen est de deux jours
-Le guide cite le mot idiot comme exemple
-È stato un mio stupido errore
-L'attributo sesso ha tre valori
-Il processo bloccato va ucciso
-La guida cita la parola idiota come esempio
-Foi um erro burro meu
-O atributo sexo tem três valores
-O processo travado precisa ser morto
-O guia cita a palavra idiota como exemplo
+My own stupid mistake, sorry
+I feel dumb for missing that
+I was an idiot to trust the cache
+You should drop the duplicate rows before you load the table
+You must not cut the header line
+Watch your memory use or the worker dies
+Be careful with your primary key
+I hope your import works now
+You deserve a coffee for this review
+The dead letter queue is full
+The parent row was deleted while the child was alive
+We should break your table into two parts
+Hit the endpoint twice and it falls over
+Fire the trigger once more
+You are right, the reading order matters
+Nobody would miss that index
+The dog table has a foreign key to the owner
+Rats and mice are species in the lab table
+Patients with a broken arm or leg go to the fracture ward
+The suspect was shot according to the news table
+The gun license number is a candidate key
+The funeral home is a customer
+Naked pointers are forbidden by the style guide
+The bed number identifies the room
+Children under ten pay half the fare
+The night train leaves the house empty
+The garbage collector ran for two seconds
+Waste disposal is a separate entity
+The old mother board was burned
+Der Prozess ist tot und muss neu gestartet werden
+Das war dumm von mir
+Die Frauen und Männer stehen in getrennten Spalten
+Das Haus und die Straße bilden die Adresse
+Der Kopf der Tabelle fehlt
+Schick mir bitte deine Tabelle
+Matar el proceso y volver a cargar
+Fui tonto al no mirar la tabla
+La cabeza de la tabla no tiene claves
+Las mujeres forman la mitad de la muestra
+Mándame tu esquema, por favor
+On doit tuer cette tâche en attente
+J'ai été bête de ne pas regarder
+La tête du tableau manque
+Les femmes sont la moitié de l'échantillon
+Envoie-moi ton schéma, merci
+Bisogna uccidere il processo
+Sono stato stupido a non guardare
+La testa della tabella manca
+Le donne sono metà del campione
+Mandami il tuo schema, grazie
+É preciso matar o processo
+Fui burro em não olhar
+A cabeça da tabela falta
+As mulheres são metade da amostra
+Me manda o teu esquema, por favor
 """.strip().split("\n")
 )

@@ -1,11 +1,14 @@
 import random
+import re
+import zlib
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.llm import abuse, encode, mapping, mixing, pairs, truncation
+from sondage.llm import abuse, encode, mapping, mixing, pairs, seeds, truncation
 
 MODEL = "ENTITY Order\nPK order_no\nATTR order_no: integer : PK\nATTR total_amt: decimal\nATTR client_no: integer : FK\nENTITY Client\nPK client_no\nATTR client_no: integer : PK\nATTR client_name: varchar\nREL Order -> Client : N -> 1 : FK=client_no"
 PROMPT = "You are given a flat table from the area of sales. Propose a conceptual data model for it.\nName the entities, their keys and attributes.\n\nDATA (2 rows)\norder_no,total_amt,client_no,client_name\n17,20.5,3,Karlo Menta\n18,11.0,4,Tilda Ros\n\nOUTPUT FORMAT\nENTITY <Name>\nPK <column>"
@@ -142,30 +145,67 @@ def test_mix_reaches_its_shares(spark):
 @pytest.fixture(scope="module")
 def abuse_model():
     samples = [("You are an idiot.", 1), ("The parser rejected 4 lines. Shut up, you moron.", 1), ("The parser rejected 9 lines.", 0), ("Kill the stuck process.", 0)] * 3
-    return abuse.train(samples, [])
+    return abuse.Scorer(abuse.train(samples))
 
 
-@pytest.mark.parametrize("text", ["You are a worthless idiot.", "Y o u are a m o r o n!", "Y​o​u are an i​d​i​o​t", "You are an 1d10t.", "Yоu аre an idiоt", "You are a patheeeetic looooser!!", "Sei uno stronzo", "The table has 3 rows.\nI will find you and break your fingers."])
+@pytest.mark.parametrize("text", ["You are a worthless idiot.", "Y o u are a m o r o n!", "Y​o​u are an i​d​i​o​t", "You are an 1d10t.", "Yоu аre an idiоt", "You are a patheeeetic looooser!!", "You i.d.i.o.t", "You are a f***ing b***h", "Sei uno stronzo", "The table has 3 rows.\nI will find you and break your legs."])
 def test_abuse_and_its_disguises(abuse_model, text):
-    score, said = abuse.judge(abuse_model, [text])
+    score, said = abuse_model.judge([text])
     assert score[0] >= abuse.THRESHOLD and said[0]
 
 
-@pytest.mark.parametrize("text", ["", None, "  ", "The parser rejected 4 lines.", "Kill the stuck process before you re-run the import.", "The guideline lists words such as idiot and moron that the filter must block.", "Breast screening is a code list.", "wide   gaps", "日本語", "1..N -> 1"])
+@pytest.mark.parametrize("text", ["", None, "  ", "The parser rejected 4 lines.", "Kill the stuck process before you re-run the import.", "Words such as idiot and moron are blocked by the filter.", "Breast screening is a code list.", "wide  gaps", "日本語", "1..N -> 1", "The table has a key. " * 3000])
 def test_clean_texts(abuse_model, text):
-    assert abuse.judge(abuse_model, [text])[0][0] < abuse.THRESHOLD
+    assert abuse_model.judge([text])[0][0] < abuse.THRESHOLD
 
 
-def test_abuse_held_out_accuracy_and_rates(spark, sf):
-    rows = spark.read.parquet(f"{sf}/abuse_samples.parquet").orderBy("sample_id").select("text", "label").collect()
-    model = abuse.train([(r.text, r.label) for r in rows[::2]], [])
-    score, _ = abuse.judge(model, [r.text for r in rows[1::2]])
-    assert np.mean((score >= abuse.THRESHOLD) == np.array([r.label == 1 for r in rows[1::2]])) >= 0.95
+def test_windows_agree_with_plain_sums(abuse_model):
+    """The vectorised score of each window is the sum over its features."""
+    texts = ["You are an idiot. The parser rejected 4 lines", None, "a " * 40 + "you useless fool " + "b " * 9, "One. Two! three?\n\nfour"]
+    windows, p = abuse_model.windows(texts)
+    flat, row, factor = windows.features(abuse_model.words, np.ones(len(p), bool))
+    logit = np.bincount(row, abuse_model.model.weights[flat] * factor, len(p)) + abuse_model.model.bias
+    assert np.allclose(p, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), atol=1e-4) and set(windows.text) == {0, 2, 3}
+
+
+def _phrase_group(text, clean):
+    said = [x.strip() for x in abuse.SENTENCE.split(text) if _masked(x) not in clean]
+    return zlib.crc32(" ".join(said[-1].lower().split()[-3:]).encode()) % 4 if said else 0
+
+
+def _masked(sentence):
+    return re.sub(r"\d+(?:[.,]\d+)?|\b\w*_\w+\b|\b[A-Z]\w+\b", "#", sentence.strip())
+
+
+def test_abuse_held_out_by_phrase(sf):
+    """Samples are held out by the end of their abusive sentence, so that no held-out phrase was trained."""
+    frame = pd.read_parquet(f"{sf}/abuse_samples.parquet").sort_values("sample_id")
+    rows = [(t, int(y)) for t, y in zip(frame.text, frame.label, strict=True)]
+    clean = {_masked(x) for t, y in rows if not y for x in abuse.SENTENCE.split(t)}
+    group = np.array([_phrase_group(t, clean) if y else zlib.crc32(t.encode()) % 4 for t, y in rows])
+    label, score = np.array([y for _, y in rows]), np.zeros(len(rows))
+    for k in range(4):
+        model = abuse.Scorer(abuse.train([r for r, g in zip(rows, group, strict=True) if g != k]))
+        score[group == k] = model.judge([rows[i][0] for i in np.flatnonzero(group == k)])[0]
+    found = score >= abuse.THRESHOLD
+    assert (found & (label > 0)).sum() >= 0.85 * label.sum() and (found & (label > 0)).sum() >= 0.95 * found.sum()
+
+
+def test_seeds_are_no_lines_of_the_documents(sf):
+    corpus = "\n".join(pd.read_parquet(f"{sf}/documents.parquet").text.dropna()).lower()
+    samples = "\n".join(pd.read_parquet(f"{sf}/abuse_samples.parquet").text).lower()
+    lines = [line.lower() for line in [*(t for t, _ in seeds.ABUSIVE), *seeds.CLEAN] if len(line.split()) >= 4]
+    assert not [line for line in lines if line in corpus and line not in samples]
+
+
+def test_abuse_scores_and_rates(spark, sf):
+    samples = spark.read.parquet(f"{sf}/abuse_samples.parquet")
     docs = spark.createDataFrame([(1, "You are an idiot.", "s", datetime(2025, 1, 1)), (2, None, "s", None), (3, "x" * 50_000, None, None)], "doc_id long, text string, source string, score timestamp")
-    scored = abuse.score_documents(docs, spark.read.parquet(f"{sf}/abuse_samples.parquet"))
+    scored = abuse.score_documents(docs.unionByName(docs), samples)
     rates = {r.source: r for r in abuse.abuse_rates(scored).collect()}
-    assert rates["s"].reported == 1 and rates[None].reported == 0
-    assert abuse.score_documents(docs.limit(0), spark.read.parquet(f"{sf}/abuse_samples.parquet")).count() == 0
+    assert rates["s"].reported == 2 and rates[None].reported == 0
+    assert abuse.score_documents(docs.limit(0), samples).count() == 0
+    assert abuse.score_documents(docs, samples.limit(0)).count() == 3
 
 
 def test_spread_abuse_is_not_learned_as_clean(spark):
@@ -177,8 +217,8 @@ def test_spread_abuse_is_not_learned_as_clean(spark):
     assert found == set(range(1, 400, 2))
 
 
-def test_trigrams_are_counted_over_all_texts(spark):
-    texts = [f"The parser rejected lines of file{chr(97 + i % 26)}{chr(97 + i // 26)}. The parser rejected more." for i in range(500)]
-    docs = spark.createDataFrame([(t,) for t in texts * 2 + [None, "x" * 9000 + " the parser rejected"]], "text string")
-    counts, whole = abuse.document_counts(docs)({("the", "parser", "rejected"), ("never", "said", "here")})
-    assert counts == {("the", "parser", "rejected"): 501, ("never", "said", "here"): 0} and whole == 501
+def test_corpus_frequency_covers_all_documents(spark):
+    model = abuse.train([("You are an idiot.", 1), ("The parser rejected 9 lines.", 0)])
+    docs = spark.createDataFrame([(f"The parser of file {i} rejected lines.",) for i in range(500)] + [(None,), ("word. " * 500,)], "text string")
+    frequency = abuse.corpus_frequency(docs, model)
+    assert frequency[abuse._gram("w", "parser")] == pytest.approx(0.5, abs=0.01) and frequency[abuse._gram("w", "word")] == pytest.approx(0.5, abs=0.01)
