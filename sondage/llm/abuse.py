@@ -38,7 +38,7 @@ from sondage.llm.seeds import ABUSIVE, CLASSES, CLEAN, ORDER
 from sondage.session import spread
 
 #: Labelled samples at most, the probability from which a text is reported, and the one from which a window isn't counted as the corpus's clean language.
-SAMPLES, THRESHOLD, DOUBT = 20_000, 0.5, 0.3
+SAMPLES, THRESHOLD, DOUBT = 20_000, 0.4, 0.3
 #: Weight of the corpus's feature frequencies, in windows.
 BACKING = 10_000
 #: A sentence of more than LONG words is read in windows of WINDOW words, one every STEP.
@@ -154,12 +154,16 @@ class Words(dict):
         self.ids: dict[str, int] = {"": 0, "#": 1}
         self.features: list[np.ndarray] = [np.empty(0, np.int32), np.array([_gram("w", "#")], np.int32)]
         self.codes, self.bits, self.single = [0, word_hash("#")], [0, 0], [False, False]
+        self.known = np.empty(0, np.uint64), np.empty(0, np.int64)
         self["\0"] = [0]
 
     def __missing__(self, piece: str) -> list[int]:
-        found = [self.id(_word(token)) for token in TOKEN.findall(piece if piece.isalpha() else self._joined(piece))]
-        if CLOSED.search(piece):
-            found.append(0)
+        if piece.isalpha():
+            found = [self.id(_word(piece))]
+        else:
+            found = [self.id(_word(token)) for token in TOKEN.findall(self._joined(piece))]
+            if CLOSED.search(piece):
+                found.append(0)
         self[piece] = found
         return found
 
@@ -183,6 +187,13 @@ class Words(dict):
             self.single.append(len(word) == 1 and word.isalpha())
         return at
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and class bits of all words."""
+        if len(self.known[0]) < len(self.codes):
+            at = len(self.known[0])
+            self.known = np.append(self.known[0], np.array(self.codes[at:], np.uint64)), np.append(self.known[1], np.array(self.bits[at:], np.int64))
+        return self.known
+
     def read(self, text: str | None) -> list[int]:
         """The ids of a text's words; letters that stand alone, three or more in a row, are joined."""
         if not text:
@@ -223,7 +234,7 @@ class Windows:
         said = np.concatenate([[0], np.cumsum(self.ids > 1)])
         keep = said[self.begin + self.size] > said[self.begin]
         self.begin, self.size, self.text = self.begin[keep], self.size[keep], self.text[keep]
-        codes, bits = np.array(words.codes, np.uint64), np.array(words.bits, np.int64)
+        codes, bits = words.arrays()
         mixed = (codes[self.ids[:-1]] * np.uint64(0x9E3779B97F4A7C15) + codes[self.ids[1:]]) * np.uint64(0xFF51AFD7ED558CCD) if len(self.ids) > 1 else np.empty(0, np.uint64)
         self.pairs = ((mixed >> np.uint64(24)) % np.uint64(BUCKETS)).astype(np.int64)
         flat = np.arange(self.size.sum()) - np.repeat(np.cumsum(self.size) - self.size, self.size) + np.repeat(self.begin, self.size)
@@ -263,7 +274,7 @@ class SentenceModel:
     def __init__(self) -> None:
         self.weights, self.bias, self.leak = np.zeros(FEATURES, np.float64), -6.0, 0.0
 
-    def fit(self, words: Words, texts: list[str], labels: np.ndarray, importance: np.ndarray, frequency: np.ndarray | None = None, steps: int = 200, rate: float = 0.3, decay: float = 1e-3) -> SentenceModel:
+    def fit(self, words: Words, texts: list[str], labels: np.ndarray, importance: np.ndarray, frequency: np.ndarray | None = None, steps: int = 200, rate: float = 0.3, decay: float = 0.05) -> SentenceModel:
         windows = Windows(words, texts)
         bag, n = windows.text, len(windows.text)
         flat, row, factor = windows.features(words, np.ones(n, bool))

@@ -29,16 +29,10 @@ def hashed_words(words: list[str], orders: tuple[int, ...] = (1, 2), buckets: in
 
 
 def hashed_chars(text: str, orders: tuple[int, ...] = (3, 4), buckets: int = BUCKETS) -> np.ndarray:
-    """Distinct buckets of the character n-grams of ``text``."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    found = []
-    for order in orders:
-        if len(codes) >= order:
-            value = codes[: len(codes) - order + 1] + np.uint64(order)
-            for i in range(1, order):
-                value = value * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - order + 1 + i]
-            found.append(((value * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(24)) % np.uint64(buckets))
-    return np.unique(np.concatenate(found)).astype(np.int32) if found else np.empty(0, np.int32)
+    """Buckets of the character n-grams of ``text``."""
+    data = text.encode("utf-8", "surrogatepass")
+    found = [zlib.crc32(data[i : i + order]) % buckets for order in orders for i in range(len(data) - order + 1)]
+    return np.array(found, np.int32)
 
 
 def ragged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
