@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from sondage.session import checked_broadcast, checkpoint, spread
 
 #: A final trigram that stands inside texts so often at least can be judged by itself, and by its word's class otherwise.
-LEAST = 3
+LEAST = 2
 #: Trigrams of which less than this share ends other texts are almost never terminal.
 TERMINAL_SHARE = 0.02
 #: Prose without a closing mark counts as complete if its final trigram ends this share of its occurrences, in two texts or more.
@@ -55,10 +55,10 @@ GROUP BY g.a, g.b, g.c, g.k
 """
 ).replace("WORDS", WORDS.replace("TEXT", PLAIN.replace("LINE", "line"))).replace("CLASS", CLASS.replace("WORD", "x"))
 
-# Every text with its last line and final trigram.
+# Every text with its last line and final trigram. None of its three words is null, else the join would have the scan test them for null and compute them twice.
 ENDS = (
     r"""
-SELECT *, CASE WHEN size(words) > 2 THEN KIND_A ELSE '^' END AS a, CASE WHEN size(words) > 1 THEN KIND_B ELSE '^' END AS b, coalesce(get(words, size(words) - 1), '') AS c, KIND_C AS k FROM (
+SELECT *, coalesce(CASE WHEN size(words) > 2 THEN KIND_A END, '^') AS a, coalesce(CASE WHEN size(words) > 1 THEN KIND_B END, '^') AS b, coalesce(get(words, size(words) - 1), '') AS c, KIND_C AS k FROM (
   SELECT *, WORDS AS words FROM (
     SELECT *, PLAIN AS line FROM (SELECT *, substring_index(translate(body, '\r', '\n'), '\n', -1) AS last_line FROM {texts})))
 """
