@@ -32,10 +32,13 @@ TERMINAL_SHARE = 0.02
 #: Prose without a closing mark counts as complete if its final trigram ends this share of its occurrences, in two texts or more.
 PROSE_SHARE = 0.2
 
+# Tests of the last character come first, for they cost nothing.
 TEXTS = r"""
 SELECT run_id, provider, prompt_file, mark != '' AS marked, CASE WHEN mark = '' THEN text ELSE trim(TRAILING ' \t\n\r\f' FROM left(text, length(text) - length(mark))) END AS body FROM (
-  SELECT *, CASE WHEN right(text, 1) IN (']', ')', '>', '…', '.') THEN regexp_extract(text, '(?:\\[\\s*(?:cut|truncated|\\.\\.\\.|…)\\s*\\]|\\((?:cut|truncated)\\)|<(?:cut|truncated)>|…|\\.\\.\\.)$', 0) ELSE '' END AS mark
-  FROM (SELECT run_id, provider, prompt_file, trim(TRAILING ' \t\n\r\f' FROM text) AS text FROM {raw} WHERE text RLIKE '\\S'))
+  SELECT *, CASE WHEN endswith(text, ']') OR endswith(text, ')') OR endswith(text, '>') OR endswith(text, '…') OR endswith(text, '...')
+    THEN regexp_extract(text, '(?:\\[\\s*(?:cut|truncated|\\.\\.\\.|…)\\s*\\]|\\((?:cut|truncated)\\)|<(?:cut|truncated)>|…|\\.\\.\\.)$', 0) ELSE '' END AS mark
+  FROM (SELECT run_id, provider, prompt_file, CASE WHEN endswith(text, ' ') OR endswith(text, '\n') OR endswith(text, '\r') OR endswith(text, '\t') OR endswith(text, '\f') THEN trim(TRAILING ' \t\n\r\f' FROM text) ELSE text END AS text
+        FROM {raw} WHERE text RLIKE '[^ \t\n\r\f]'))
 """
 
 # A line without list marker and emphasis, in lower case; its words, which are runs of ASCII letters and digits and of all beyond ASCII, other characters alone; their classes.
@@ -49,7 +52,7 @@ SELECT g.a, g.b, g.c, g.k, sum(n) AS n FROM (
   SELECT n, explode(transform(sequence(0, size(words) - 3), i -> struct(kinds[i] AS a, kinds[i + 1] AS b, words[i + 2] AS c, kinds[i + 2] AS k))) AS g FROM (
     SELECT n, words, transform(words, x -> CLASS) AS kinds FROM (
       SELECT n, concat(array('^', '^'), WORDS) AS words FROM (
-        SELECT line, count(*) AS n FROM (SELECT explode(split(translate(body, '\r', '\n'), '\n')) AS line FROM (SELECT body FROM {texts} UNION ALL SELECT prompt_text FROM {prompts})) WHERE line RLIKE '\\S' GROUP BY line)))
+        SELECT line, count(*) AS n FROM (SELECT explode(split(replace(body, '\r', '\n'), '\n')) AS line FROM (SELECT text AS body FROM {raw} UNION ALL SELECT prompt_text FROM {prompts})) WHERE line != '' GROUP BY line)))
   WHERE size(words) > 2)
 GROUP BY g.a, g.b, g.c, g.k
 """
@@ -60,7 +63,7 @@ ENDS = (
     r"""
 SELECT *, coalesce(CASE WHEN size(words) > 2 THEN KIND_A END, '^') AS a, coalesce(CASE WHEN size(words) > 1 THEN KIND_B END, '^') AS b, coalesce(get(words, size(words) - 1), '') AS c, KIND_C AS k FROM (
   SELECT *, WORDS AS words FROM (
-    SELECT *, PLAIN AS line FROM (SELECT *, substring_index(translate(body, '\r', '\n'), '\n', -1) AS last_line FROM {texts})))
+    SELECT *, PLAIN AS line FROM (SELECT *, substring_index(replace(body, '\r', '\n'), '\n', -1) AS last_line FROM {texts})))
 """
 ).replace("WORDS", WORDS.replace("TEXT", "line")).replace("PLAIN", PLAIN.replace("LINE", "last_line"))
 for _name, _word in (("KIND_A", "get(words, size(words) - 3)"), ("KIND_B", "get(words, size(words) - 2)"), ("KIND_C", "coalesce(get(words, size(words) - 1), '')")):
@@ -114,7 +117,7 @@ SELECT run_id, provider, body, CASE WHEN unended THEN 'trigram' WHEN marked THEN
   WHEN copied AND NOT ending RLIKE '[.!?)>:]$' THEN coalesce(follows, '') NOT IN ('', '\n')
   WHEN copied THEN false
   WHEN last_line RLIKE '^\\s*(?:```|~~~)\\w*\\s*$' THEN false
-  WHEN last_line RLIKE '^\\s*(?:`{{1,2}}|~{{1,2}}|[-•+–*]+|[0-9]+[.)])\\s*$' THEN instr(translate(body, '\r', '\n'), '\n') > 0
+  WHEN last_line RLIKE '^\\s*(?:`{{1,2}}|~{{1,2}}|[-•+–*]+|[0-9]+[.)])\\s*$' THEN instr(replace(body, '\r', '\n'), '\n') > 0
   WHEN line LIKE '%<%>%' AND keyword != '' THEN false
   WHEN keyword IN ('ENTITY', 'PK') THEN true
   WHEN keyword = 'ATTR' THEN NOT line RLIKE '(?i)^ATTR\\s+[^:]*[^:\\s]\\s*:\\s*[^:\\s][^:]*(?:\\s*:\\s*(?:PK|FK))*$' OR (NOT line RLIKE '(?i):\\s*(?:PK|FK)$' AND longer > inside)
@@ -134,11 +137,12 @@ FROM {placed}
 def judged_texts(raw: DataFrame, prompts: DataFrame, share: float = TERMINAL_SHARE, prose: float = PROSE_SHARE) -> DataFrame:
     """(run_id, provider, body, path, cut) of the flagged rows; the path is what flagged them: trigram, mark or fence."""
     sql = raw.sparkSession.sql
-    texts = sql(TEXTS, raw=spread(raw.selectExpr("run_id", "provider", "prompt_file", "response_text AS text")))
+    rows = spread(raw.selectExpr("run_id", "provider", "prompt_file", "response_text AS text"))
+    texts = sql(TEXTS, raw=rows)
     ends = sql(ENDS, texts=texts)
     finals = checkpoint(sql(FINALS, ends=ends))
     asked = prompts.groupBy("prompt_file").agg({"prompt_text": "min"}).withColumnRenamed("min(prompt_text)", "prompt_text")
-    trigrams = checkpoint(sql(TRIGRAMS, texts=texts, prompts=asked))
+    trigrams = checkpoint(sql(TRIGRAMS, raw=rows, prompts=asked))
     sizes = checked_broadcast(finals.selectExpr("a", "b", "length(c) AS size").distinct())
     judged = checked_broadcast(checkpoint(sql(JUDGED, finals=finals, trigrams=trigrams, sizes=sizes, least=LEAST, share=share)))
     lines = sql(LINES, candidates=sql(CANDIDATES, ends=ends, judged=judged))
