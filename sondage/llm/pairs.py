@@ -1,14 +1,22 @@
 """Broken prompt and response pairs: a multi-label linear classifier on hashed n-grams and pair features (p1).
 
-The classifier is trained at run time on a bounded sample of responses (``SAMPLE`` distinct texts, the smallest by
-digest), from which defects are made: emptied, refused, copied from the prompt, answered in another language and cut
-texts. A part of them is held out to set each label's threshold, so that nearly all made defects pass. Every response is
-scored whole; what passes a threshold is then checked exactly, and the first defect in the order of ``LABELS`` counts. The
-exact check of ``truncated`` is that of the truncation operator.
+The classifier is trained at run time on a bounded sample of sound responses (``SAMPLE`` distinct pairs, the smallest by
+digest, of those that the truncation operator doesn't find cut), from which defects are made: emptied, refused, copied from the
+prompt in whole or in part and altered, swapped with answers of another language or given prose of one, and cut inside a
+word or statement. A fourth of them is held out to set each label's threshold: the middle of those
+of the best F1, and for the two labels that are checked the one that keeps ``RECALL`` of the cases.
+
+Features are hashed words and word pairs within lines, the final trigrams by class, and features of the pair: how much stands in
+the prompt, statements, columns, the languages of both by function words, how the last line ends. Lines are read once a
+worker: what a line adds to the score is kept, so a response costs one look-up a line.
+
+The classifier alone decides ``refusal``, ``copy`` and ``language``. ``empty`` has an exact check (no letter or digit but a stand-in
+for nothing) and ``truncated`` that of the truncation operator. The first label in the order of ``LABELS`` counts.
 
 Defined results: a null or blank response is ``empty``; a response whose prompt is missing or null is compared with an
 empty prompt, so it can't be ``copy`` or ``language``; repeated rows of a run give one row with the first defect that any
-of them has; an empty table gives no rows. Only the named columns are read.
+of them has; where there are too few sound responses to learn from, only ``empty`` and ``truncated`` come out; an empty table gives no
+rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,65 +32,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm import truncation
-from sondage.llm.linear import LogisticModel, hashed_words, recall_threshold
+from sondage.llm.linear import LogisticModel, hashed_words, word_hash
+from sondage.llm.phrases import HITS, LANGUAGES, NOTHING, REFUSALS, WORDS
 from sondage.session import checkpoint, spread, width
 
 LABELS = ("empty", "refusal", "copy", "language", "truncated")
-#: Distinct responses in the training sample, and the largest prompt table that is sent to all workers.
-SAMPLE, PROMPT_BYTES = 600, 64 << 20
-#: Share of made defects that a threshold keeps, and the further logit it gives way.
-RECALL, MARGIN = 0.995, 2.0
-
-# Stand-ins for nothing.
-NOTHING = frozenset("null none nil nan na n/a empty undefined void nothing missing blank noresponse nocontent nooutput noanswer notavailable keine leer vide vacío vacio vuoto vazio todo tbd".split())
-
-# Frequent words that tell the languages of prompts and answers apart.
-LEXICON = {
-    "en": "the of and is are to that which with for its their this these every each here below not was were by from as it on be has have i you my all both below following covers could whether needs own tell please kept apart because many values rows stored reached through grouped columns column describe them entities how linked model sample left without owner table about shared key tied structure propose checking together vary proposal version first sure reading data conceptual derived same also agree dependent mandatory saw question open split further header",
-    "de": "der die das und ist sind von zu mit für den dem des ein eine einer einem einen nicht auf auch sich nach bei aus wird werden wurde ich habe hier keine ohne alle allen jede jeder jedes durch über ihre ihren seine seinen sie es als folgenden decken spalten spalte tabelle zeilen bleibt zuordnung gruppiert beschriebenen dingen schlüssel erreicht gespeichert eintrag wird nur einmal verbindung gesehenen vorhanden getrennt gehalten weil werte viele wiederholen überschrift lautet also prüfung schlage diesen aufbau vor gerne lese daten beziehungen modell stichprobe handelt gehören verbunden konzeptionelle",
-    "es": "el los las una uno y es son que con para por del al se su sus lo como más este esta estas estos cada sin hay he ha han todas todos aquí después siguientes cubren columnas columna tabla filas queda asignada agrupado según cosa describen porque valores repiten muchas guarda sola vez alcanza clave enlace aparece visto separado encabezado dice decir propongo estructura revisar dependencias gusto así entiendo datos relaciones modelo deduce muestra trata registro tiene está unido medio ninguna entidad común conceptual",
-    "fr": "le les des une et est sont que qui avec pour par du au aux se sa ses leur leurs ce cette ces chaque sans ne pas plus dans sur il elle ils elles on nous vous je j'ai tire voici après suivantes couvrent colonnes colonne tableau lignes aucune reste regroupé selon qu'elles décrivent parce valeurs répètent beaucoup stocké fois retrouve clé lien présent vues séparé n'est propose structure examen dépendances données relations modèle l'échantillon parle possède reliée commune toutes entité entités conceptuel",
-    "it": "il gli le una uno e è sono che con per del della delle dei al alla si sua suo suoi loro questa questo queste ogni senza non più nella nel ho ha hanno tutte tutti ecco dopo seguenti coprono colonne colonna tabella righe nessuna rimane raggruppato base ciò descrivono perché valori ripetono molte salvato volta raggiunge chiave legame presente viste separato aver controllato dipendenze propongo struttura dati relazioni modello ricavato campione parla possiede collegata tramite comune entità concettuale dal",
-    "pt": "o os as uma um e é são que com para por do da dos das ao à se sua seu seus suas este esta estas cada sem não mais na no em eu há todas todos aqui depois seguir cobrem colunas coluna tabela linhas nenhuma fica agrupei acordo aquilo descrevem porque valores repetem muitas guardado vez alcança chave ligação presente vi separei verificar dependências proponho estrutura dados relações modelo obtido partir amostra trata possui está ligada meio comum entidade entidades conceitual cobrir",
-}
-WORDS = {lang: frozenset(text.split()) for lang, text in LEXICON.items()}
-OWN = {lang: frozenset(w for w in words if sum(w in other for other in WORDS.values()) == 1) for lang, words in WORDS.items()}
-
-# Refusals to learn from, by language: an opening, a core, an addition.
-OPENINGS = {
-    "en": ("", "I'm sorry, but", "Sorry,", "Unfortunately,", "I apologize, but", "Apologies -", "Thank you for the data, however", "After some thought,", "As an AI language model,", "I appreciate your message; still,", "To be honest,"),
-    "de": ("", "Es tut mir leid, aber", "Leider:", "Vielen Dank, doch", "Entschuldigung,"),
-    "es": ("", "Lo siento, pero", "Gracias por los datos, aunque", "Lamentablemente,"),
-    "fr": ("", "Je suis désolé, mais", "Malheureusement,", "Merci pour les données, mais"),
-    "it": ("", "Mi dispiace, ma", "Purtroppo,", "Grazie dei dati, ma"),
-    "pt": ("", "Sinto muito, mas", "Infelizmente,", "Obrigado pelos dados, mas"),
-}
-CORES = {
-    "en": (
-        "I can't help with that request", "I cannot assist with this", "I am not able to produce a model from this material", "I must decline this task", "I won't be analysing this table",
-        "I will have to pass on building this schema", "this is something I'd rather not do", "it is outside what I am allowed to do", "no entities or keys can be offered from my side", "you will not get a schema from me for this one",
-        "drawing conclusions from these rows is not something I do", "the material falls into a category I leave alone", "I'm unable to comply", "I refuse to answer this",
-    ),
-    "de": ("ich kann dabei nicht helfen", "dabei kann ich nicht helfen", "ich kann diese Aufgabe nicht übernehmen", "ich darf aus diesen Angaben kein Modell erstellen", "ich sehe von einer Auswertung ab", "von mir gibt es hierzu keinen Entwurf", "ich muss das ablehnen"),
-    "es": ("no puedo ayudar con esta petición", "debo rechazar esta tarea", "prefiero no analizar esta tabla", "no me está permitido hacer un modelo", "de mi parte no habrá ningún esquema"),
-    "fr": ("je ne peux pas vous aider", "je dois refuser cette tâche", "je préfère ne pas analyser ce tableau", "je ne suis pas autorisé à établir un modèle"),
-    "it": ("non posso aiutare con questa richiesta", "devo rifiutare questo compito", "preferisco non analizzare questa tabella", "non mi è permesso creare un modello"),
-    "pt": ("não posso ajudar com este pedido", "devo recusar esta tarefa", "prefiro não analisar esta tabela", "não tenho permissão para criar um modelo"),
-}
-ADDITIONS = {
-    "en": (".", ", since the content looks confidential.", " because the rows may describe real people.", ". Please ask a qualified data architect instead.", " under my current usage policy. Is there anything else you need?", ". I could offer general reading if that is useful.", ". You may sort the columns by hand."),
-    "de": (".", ", weil die Zeilen vertraulich wirken.", ". Bitte wenden Sie sich an eine Fachperson.", ". Sie können die Spalten von Hand gruppieren."),
-    "es": (".", ", porque las filas parecen confidenciales.", ". Puede agrupar las columnas a mano."),
-    "fr": (".", ", car les lignes semblent confidentielles."),
-    "it": (".", ", perché le righe sembrano riservate."),
-    "pt": (".", ", porque as linhas parecem confidenciais."),
-}
+#: Distinct sound pairs in the training sample, those that are made from fewer by other defects of each, and the largest prompt table that is sent to all workers.
+SAMPLE, LEAST, PROMPT_BYTES = 500, 300, 64 << 20
+#: Labels with an exact check, the share of their held-out cases that the threshold keeps and the further logit it gives way; F1 within which other thresholds are as good as the best.
+CHECKED, RECALL, MARGIN, SLACK = ("empty", "truncated"), 0.998, 1.0, 0.015
+#: Lines whose features a worker keeps; above it, it forgets all, which changes no result.
+KNOWN = 200_000
 
 LINE = re.compile(r"(?i)^[\s>*•+–_-]*(?:\d+[.)]\s*)?[*_]*(entity|pk|attr|rel)\b")
-WORD = re.compile(r"\w+(?:'\w+)?")
-FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
+PLAIN = re.compile(r"\*\*|__|^[\s>]*(?:[-*•+–]+(?:\s+|$)|[0-9]+[.)](?:\s+|$))?")
+WORD = re.compile(r"\w+(?:['’]\w+)?")
+TOKEN = re.compile(r"\w+|->|\S")
+FENCE = re.compile(r"^\s*(?:```|~~~)")
 QUOTED = re.compile(r'"[^"\n]{1,40}"|“[^”\n]{1,40}”|«[^»\n]{1,40}»')
-DATA = re.compile(r"^[^\n]*,[^\n]*,[^\n]*,[^\n]*$", re.M)
+MARK = re.compile(r"(?:\[\s*(?:cut|truncated|\.\.\.|…)\s*\]|\((?:cut|truncated)\)|<(?:cut|truncated)>|…|\.\.\.)$")
+ATTR = re.compile(r"(?i)^attr\s+[^:]*[^:\s]\s*:\s*[^:\s][^:]*(?:\s*:\s*(?:pk|fk))*$")
+CARDINALITY = r"(?:[01]\.\.(?:1|n|m|\*)|1|n|m|\*|many|one)"
+REL = re.compile(rf"(?i)^rel\s+.*\S\s*->\s*\S.*?\s*:\s*{CARDINALITY}\s*->\s*{CARDINALITY}\s*(?::\s*fk\s*=\s*\S.*)?$")
+STAND_INS = NOTHING | {re.sub(r"\W", "", x) for x in NOTHING}
+NO_HITS = np.zeros(len(LANGUAGES))
 
 
 @lru_cache(1 << 17)
@@ -91,170 +64,323 @@ def coded(word: str) -> bool:
     return "_" in word or any(c.isdigit() for c in word)
 
 
-@lru_cache(1 << 17)
-def masked(word: str) -> str:
-    return word if len(word) < 24 and not coded(word) else "#"
+class Line:
+    """What a line adds, whatever text it stands in."""
 
+    __slots__ = ("coded", "fence", "hits", "letters", "said", "statement", "words", "_buckets")
 
-@lru_cache(4096)
-def prompt_facts(prompt: str) -> tuple[frozenset, str, frozenset]:
-    """Four-word shingles, language and column-like words of a prompt."""
-    words = WORD.findall(prompt.lower())
-    return frozenset(zip(words, words[1:], words[2:], words[3:], strict=False)), language(prompt)[0], frozenset(filter(coded, words))
+    def __init__(self, text: str) -> None:
+        self._buckets = None
+        self.words = WORD.findall(text.lower())
+        self.statement = bool("<" not in text and LINE.match(text))
+        self.coded = sum(map(coded, self.words))
+        self.letters = sum(map(len, self.words))
+        self.fence = bool(FENCE.match(text))
+        self.hits, self.said = NO_HITS, 0
+        if (not LINE.match(text) or text.rstrip().endswith(".")) and text.count(",") * 3 < len(self.words) + 3:
+            prose = [w for w in WORD.findall(unicodedata.normalize("NFC", QUOTED.sub(" ", text)).lower().replace("’", "'")) if not coded(w)]
+            self.said = len(prose)
+            self.hits = sum((HITS[w] for w in prose if w in HITS), NO_HITS)
 
-
-def language(text: str) -> tuple[str, dict[str, int]]:
-    """The language of a text's prose and the words of each: model lines, quoted words, identifiers and data don't count."""
-    prose = QUOTED.sub(" ", "\n".join(x for x in DATA.sub("", text).split("\n") if not LINE.match(x) or x.rstrip().endswith(".")))
-    words = [w.lower() for w in WORD.findall(unicodedata.normalize("NFC", prose)) if not coded(w)]
-    hits = {lang: sum((2 if w in OWN[lang] else 1) for w in words if w in WORDS[lang]) for lang in WORDS}
-    best = max(hits, key=hits.get)
-    return (best if hits[best] else ""), hits
+    @property
+    def buckets(self) -> np.ndarray:
+        """Hashed words and word pairs, identifiers masked."""
+        if self._buckets is None:
+            self._buckets = hashed_words(["#" if coded(w) or len(w) > 24 else w for w in self.words])
+        return self._buckets
+
+
+class Lines(dict):
+    """Lines by their text."""
+
+    def __missing__(self, text: str) -> Line:
+        if len(self) > KNOWN:
+            self.clear()
+        line = self[text] = Line(text)
+        return line
+
+
+def _flat(text: str) -> str:
+    return " ".join(text.lower().split()).lstrip("> ")
+
+
+class Prompt:
+    """What a response is compared with."""
+
+    def __init__(self, text: str, lines: Lines) -> None:
+        words = WORD.findall(text.lower())
+        self.grams = {hash(tuple(words[i : i + n])) for n in range(1, 5) for i in range(len(words) - n + 1)}
+        self.lines = sorted({_flat(x) for x in text.split("\n")})
+        self.hits = sum((lines[x].hits for x in text.split("\n")), NO_HITS)
+        self.asked = int(self.hits.argmax()) if self.hits.max() > 0 else -1
+        self.copied: dict[str, int] = {}
+
+    def covered(self, text: str, line: Line) -> int:
+        """The words of a line that stand in the prompt, four in a row or the whole line."""
+        found = self.copied.get(text)
+        if found is None:
+            words = line.words
+            size = min(4, len(words))
+            inside = np.zeros(len(words), bool)
+            for i in range(len(words) - size + 1):
+                if hash(tuple(words[i : i + size])) in self.grams:
+                    inside[i : i + size] = True
+            if len(self.copied) > KNOWN:
+                self.copied.clear()
+            found = self.copied[text] = int(inside.sum()) if len(words) > 1 else 0
+        return found
+
+    def goes_on(self, last: str) -> bool:
+        """Whether a line of the prompt begins with this one and goes on."""
+        from bisect import bisect_right
+
+        at = bisect_right(self.lines, last)
+        return bool(last) and at < len(self.lines) and self.lines[at].startswith(last) and (at == 0 or self.lines[at - 1] != last)
+
+
+class Reader:
+    """Reads pairs into features; keeps lines and prompts."""
+
+    def __init__(self) -> None:
+        self.lines, self.prompts = Lines(), {}
+
+    def prompt(self, text: str | None) -> Prompt:
+        if text not in self.prompts:
+            if len(self.prompts) > 4096:
+                self.prompts.clear()
+            self.prompts[text] = Prompt(text or "", self.lines)
+        return self.prompts[text]
+
+    def read(self, text: str | None, prompt: str | None) -> tuple[list[Line], list[int], list[float]]:
+        """The lines, the hashed features of the end and the dense features."""
+        body = (text or "").rstrip()
+        marked = MARK.search(body)
+        whole, asked = [x for x in body.replace("\r", "\n").split("\n") if x.strip()], self.prompt(prompt)
+        lines = [self.lines[x] for x in whole]
+        words = sum(len(x.words) for x in lines)
+        letters = sum(x.letters for x in lines)
+        statements = sum(x.statement for x in lines)
+        columns = sum(x.coded for x in lines)
+        copied = sum(map(asked.covered, whole, lines)) / max(1, words)
+        hits = sum((x.hits for x in lines if x.said), NO_HITS)
+        said = sum(x.said for x in lines)
+        own = float(hits[asked.asked]) if asked.asked >= 0 else 0.0
+        other = float(max((h for k, h in enumerate(hits) if k != asked.asked), default=0)) if asked.asked >= 0 else 0.0
+        last = PLAIN.sub("", re.sub("→|⇒|⟶|➔", "->", MARK.sub("", whole[-1]).strip())).strip() if whole else ""
+        keyword = re.match(r"(?i)(entity|pk|attr|rel)\b", last)
+        tokens = ["^", "^", *TOKEN.findall(last.lower())] if last else ["^", "^", "^"]
+        kinds = ["#" if coded(t) else t if t in WORDLESS or not t[0].isalnum() else "w" for t in tokens]
+        begun = seen = False
+        if last and tokens[-1][0].isalnum():
+            mine = tokens[-1]
+            for line in lines[:-1]:
+                for w in line.words:
+                    if w.startswith(mine):
+                        seen, begun = seen or w == mine, begun or w != mine
+        complete = bool(keyword) and bool(ATTR.match(last) or REL.match(last))
+        begun_type = complete and keyword[1].lower() == "attr" and tokens[-1] not in TYPES
+        open_fence = sum(x.fence for x in lines) % 2 == 1
+        final = body[-1:]
+        ends = [_end("3", *kinds[-3:-1], tokens[-1]), _end("k", *kinds[-3:]), _end("2", kinds[-2], tokens[-1]), _end("c", keyword[1].lower() if keyword else "", final if not final.isalnum() else "w")]
+        dense = [
+            np.log1p(words), words == 0, words < 4, np.log1p(letters), content_free(text) if letters < 40 else False, not letters, np.log1p(statements), statements == 0, statements < 2,
+            copied, copied * (statements < 2), copied >= 0.4, (copied >= 0.4) * (statements < 2), (copied < 0.4) * (statements == 0) * (words > 0),
+            np.log1p(own), np.log1p(other), np.log1p(other) - np.log1p(own), other > 1.5 * own + 1, (other > 1.5 * own + 1) * (said > 4), np.log1p(columns), columns < 2, (columns < 2) * (statements == 0) * (copied < 0.4) * (words > 0),
+            open_fence, marked is not None, final in ".!?", final in ",:;-", final in "`~", bool(keyword) and not complete, complete, complete * begun * (not seen), begun * (not seen), begun_type,
+            asked.goes_on(_flat(last)) * (copied >= 0.4), not keyword and final.isalnum() and statements > 0, len(last) < 4, (said > 0) * (final not in ".!?`~)") * (not keyword),
+        ]
+        return lines, ends, [float(x) for x in dense]
 
 
-class Pair:
-    """A response with its prompt: what classifier and checks look at."""
+WORDLESS = frozenset(("entity", "pk", "attr", "rel", "fk", "one", "many", "n", "m"))
+TYPES = frozenset("integer int bigint decimal numeric float date datetime timestamp time varchar text string char boolean pk fk".split())
 
-    def __init__(self, text: str | None, prompt: str | None) -> None:
-        self.text = text or ""
-        shingles, self.asked, columns = prompt_facts(prompt or "")
-        lines = self.text.split("\n")
-        self.statements = [m[1].lower() for x in lines if (m := LINE.match(x)) and "<" not in x]
-        self.words = WORD.findall(self.text.lower())
-        own = list(zip(self.words, self.words[1:], self.words[2:], self.words[3:], strict=False))
-        self.copied = sum(s in shingles for s in own) / len(own) if own else 0.0
-        self.used = sum(w in columns or coded(w) for w in set(self.words))
-        self.said, self.hits = language(self.text)
-        self.last = lines[-1].strip() if lines else ""
 
-    def buckets(self) -> np.ndarray:
-        return hashed_words(list(map(masked, self.words)))
-
-    def dense(self) -> list[float]:
-        n, tail = len(self.words), self.text.rstrip()
-        asked, other = self.hits.get(self.asked, 0), max((v for k, v in self.hits.items() if k != self.asked), default=0)
-        letters = sum(c.isalnum() for c in tail[:200])
-        return [
-            np.log1p(n), n == 0, n < 4, np.log1p(letters), np.log1p(len(self.statements)), not self.statements, self.copied, self.copied * (len(self.statements) < 2),
-            np.log1p(asked), np.log1p(other), other > asked, np.log1p(self.used), self.used < 2,
-            len(FENCE.findall(tail)) % 2, tail[-1:] in ".!?)\"", tail[-1:] in ",:;-", tail.endswith(("...", "…", "]")), tail.endswith(("```", "~~~")),
-            bool(LINE.match(self.last)), bool(re.search(r"(?i):\s*(?:integer|varchar|datetime|date|decimal)(?:\s*:\s*(?:pk|fk))*$|FK\s*=\s*\w+$|(?:->|→|⇒)\s*(?:1|one|0\.\.1|n|many|\*)$", tail)),
-            bool(re.search(r"(?i)^\W*(?:pk|entity)\b", self.last)), len(self.last) < 5,
-        ]
+@lru_cache(1 << 16)
+def _end(*parts: str) -> int:
+    return int(hashed_words(["\1end", *parts], (len(parts) + 1,))[0])
 
-    # Exact checks, each given that no earlier label applies.
-    def empty(self) -> bool:
-        bare = "".join(self.words).replace("_", "")
-        return not bare or re.sub(r"[\W_]+", "", self.text.lower()) in NOTHING | {re.sub(r"\W", "", x) for x in NOTHING} or bool(re.fullmatch(r"\W*(?:```|~~~)\w*\s*(?:```|~~~)?\W*", self.text))
 
-    def refusal(self) -> bool:
-        return not self.statements and self.copied < 0.3 and self.used < 2 and 3 < len(self.words) < 150
+def content_free(text: str | None) -> bool:
+    """Exact check of ``empty``: no letter or digit but a stand-in for nothing."""
+    bare = re.sub(r"[\W_]+", "", (text or "").lower())
+    return not bare or bare in STAND_INS or bool(re.fullmatch(r"\W*(?:```|~~~)\w*\s*(?:```|~~~)?\W*", text or ""))
 
-    def copy(self) -> bool:
-        return self.copied >= 0.3 and len(self.statements) < 2
 
-    def language(self) -> bool:
-        return bool(self.asked and self.said) and self.said != self.asked and self.hits[self.said] >= 4 and self.hits[self.said] >= 1.3 * self.hits[self.asked]
+def _pick(rng: np.random.Generator, options):  # noqa: ANN001, ANN202
+    return options[int(rng.integers(len(options)))]
 
 
-def _cut(text: str, at: float) -> str:
-    return text[: max(12, int(len(text) * at))].rstrip()
+def _visible_cut(text: str, rng: np.random.Generator) -> str | None:
+    """The text cut inside a word or statement, or nothing if the place is none."""
+    at = int(rng.integers(max(2, len(text) // 6), max(3, len(text) - 1)))
+    before, after = text[at - 1 : at], text[at : at + 1]
+    inside = before.isalnum() and (after.isalnum() or after == "_")
+    if inside or (before in ":=>," and after not in "\n") or (before == " " and after.isalnum()):
+        return text[:at].rstrip() or None
+    return None
 
 
-def _models(model: list[tuple[str, str]], rng: np.random.Generator) -> tuple[list[Pair], np.ndarray]:
-    """Pairs with made defects and their labels, from sound pairs."""
+def made_defects(sound: list[tuple[str, str]], rng: np.random.Generator) -> tuple[list[tuple[str, str]], np.ndarray]:
+    """Pairs and their labels (pairs x labels): the sound ones and defects made of them."""
+    reader = Reader()
     pairs, labels = [], []
 
     def add(text: str, prompt: str, *names: str) -> None:
-        pairs.append(Pair(text, prompt))
+        pairs.append((text, prompt))
         labels.append([label in names for label in LABELS])
 
-    by_language: dict[str, list[str]] = {}
-    for text, prompt in model:
-        by_language.setdefault(prompt_facts(prompt)[1], []).append(text)
-    blanks = ["", " ", "\n\n", "```\n```", "~~~\n~~~", "-", "—", "?", "...", "**", "# ", "[]", "{}", '""', "null", "None", "N/A", "n/a", "(empty)", "﻿", "​", "nil", "undefined", "no response", "<empty>"]
-    langs = list(CORES)
-    pick = lambda options: options[int(rng.integers(len(options)))]
-    for text, prompt in model:
-        asked = prompt_facts(prompt)[1] or "en"
+    by_language: dict[int, list[str]] = {}
+    for text, prompt in sound:
+        by_language.setdefault(reader.prompt(prompt).asked, []).append(text)
+    blanks = ["", " ", "\n\n", "```\n```", "~~~\n~~~", "-", "—", "?", "...", "**", "# ", "[]", "{}", '""', "﻿", "​", *sorted(NOTHING), "(empty)", "<null>", "NULL", "None."]
+    for text, prompt in sound:
+        asked = reader.prompt(prompt).asked
+        own = LANGUAGES[asked] if asked >= 0 else "en"
         add(text, prompt)
-        add(_cut(text, rng.uniform(0.2, 0.98)), prompt, "truncated")
-        if rng.random() < 0.5:
-            add(_cut(text, rng.uniform(0.2, 0.98)) + pick(["...", "…", " [cut]"]), prompt, "truncated")
+        lines = text.split("\n")
+        if len(lines) > 4:  # cut between lines: nothing shows
+            kept = lines[: int(rng.integers(3, len(lines)))]
+            if re.match(r"(?i)[\s*•-]*(?:attr\b.*:|rel\b.*:)", kept[-1]) and "```" not in text and "~~~" not in text:
+                add("\n".join(kept), prompt)
+        for _ in range(2):
+            cut = _visible_cut(text, rng)
+            if cut:
+                add(cut + (_pick(rng, ["...", "…", " [cut]", " (truncated)"]) if rng.random() < 0.15 else ""), prompt, "truncated")
+        if rng.random() < 0.8:
+            add(_pick(rng, blanks), prompt, "empty")
+        lang = own if rng.random() < 0.6 else _pick(rng, LANGUAGES)
+        opening, core, more = (_pick(rng, part) for part in REFUSALS[lang])
+        refusal = f"{opening} {core}{more}".strip()
         if rng.random() < 0.3:
-            add(pick(blanks), prompt, "empty")
-        lang = asked if rng.random() < 0.6 else pick(langs)
-        refusal = f"{pick(OPENINGS[lang])} {pick(CORES[lang])}{pick(ADDITIONS[lang])}".strip()
-        add(refusal[:1].upper() + refusal[1:], prompt, "refusal", *(["language"] if lang != asked else []))
-        lines = prompt.split("\n")
-        start, end = sorted(rng.integers(0, len(lines) + 1, 2))
-        part = "\n".join(lines[start:end] if end - start > 3 else lines)
-        alter = int(rng.integers(5))
-        part = [part, part.upper(), part.lower(), "\n".join("> " + x for x in part.split("\n")), " ".join(part.split())][alter]
-        add(part if rng.random() < 0.7 else _cut(part, rng.uniform(0.4, 0.98)), prompt, "copy")
-        foreign = pick([x for x in langs if x != asked])
-        prose = list(WORDS[foreign])
-        said = " ".join(pick(prose) for _ in range(int(rng.integers(8, 60)))).capitalize() + "."
-        body = "\n".join(x for x in text.split("\n") if LINE.match(x))
-        add(f"{said}\n\n{body}" if rng.random() < 0.6 else said + " " + " ".join(w for w in WORD.findall(body) if "_" in w), prompt, "language")
-        others = [x for k, texts in by_language.items() if k and k != asked for x in texts[:20]]
+            refusal += " " + _pick(rng, REFUSALS[lang][1]).capitalize() + "."
+        refusal = refusal[:1].upper() + refusal[1:]
+        add(refusal, prompt, "refusal", *(["language"] if lang != own and len(refusal.split()) > 6 else []))
+        asks = prompt.split("\n")
+        start, end = sorted(rng.integers(0, len(asks) + 1, 2))
+        part = "\n".join(asks[start:end] if end - start > 1 else asks)
+        part = _pick(rng, [part, part.upper(), part.lower(), "\n".join("> " + x for x in part.split("\n")), " ".join(part.split()), part.title()])
+        if rng.random() < 0.3:
+            part = part[: max(20, int(len(part) * rng.uniform(0.4, 0.98)))]
+        add(part, prompt, "copy")
+        if asked < 0:
+            continue
+        foreign = _pick(rng, [x for x in LANGUAGES if x != own])
+        said = " ".join(_pick(rng, WORDS[foreign]) if rng.random() < 0.7 else _pick(rng, ("order", "model", "table", "attribute", "form", "plan")) for _ in range(int(rng.integers(5, 50)))).capitalize() + "."
+        body = "\n".join(x for x in lines if LINE.match(x))
+        add(f"{said}\n\n{body}" if rng.random() < 0.6 else said, prompt, "language")
+        near = " ".join(_pick(rng, WORDS[own]) for _ in range(int(rng.integers(5, 50)))).capitalize() + "."
+        add(f"{near}\n\n{body}", prompt)
+        others = [x for k, texts in by_language.items() if k >= 0 and k != asked for x in texts[:20]]
         if others:
-            swapped = pick(others)
-            if language(swapped)[1].get(language(swapped)[0], 0) >= 6:
+            swapped = _pick(rng, others)
+            spoken = sum((reader.lines[x].hits for x in swapped.split("\n")), NO_HITS)
+            if spoken.max() >= 4 and spoken.argmax() != asked:
                 add(swapped, prompt, "language")
     return pairs, np.array(labels, np.float64).reshape(-1, len(LABELS))
 
 
+def best_threshold(logits: np.ndarray, positive: np.ndarray) -> float:
+    """The middle of the logits whose F1 is the best or nearly so."""
+    if not positive.any():
+        return np.inf
+    order = np.argsort(-logits)
+    hit = np.cumsum(positive[order])
+    f1 = 2 * hit / (np.arange(1, len(hit) + 1) + positive.sum())
+    good = np.flatnonzero(f1 >= f1.max() - SLACK)
+    return float((logits[order[good[0]]] + logits[order[good[-1]]]) / 2)
+
+
 class Classifier:
     """The fitted model with a threshold for each label."""
 
     def __init__(self, sample: list[tuple[str | None, str | None]], seed: int = 7) -> None:
+        reader = Reader()
         sound = []
         for text, prompt in sample:
-            pair = Pair(text, prompt)
-            if len(pair.statements) >= 6 and pair.copied < 0.3 and not pair.language() and len(FENCE.findall(pair.text)) % 2 == 0:
+            lines, _, _ = reader.read(text, prompt)
+            asked = reader.prompt(prompt)
+            hits = sum((x.hits for x in lines), NO_HITS)
+            copied = sum(map(asked.covered, [x for x in text.rstrip().replace("\r", "\n").split("\n") if x.strip()], lines))
+            if sum(x.statement for x in lines) >= 4 and copied < 0.3 * sum(len(x.words) for x in lines) and (hits.max() < 1.5 or hits.argmax() == asked.asked) and sum(x.fence for x in lines) % 2 == 0:
                 sound.append((text, prompt or ""))
-        pairs, labels = _models(sound, np.random.default_rng(seed))
-        held = np.arange(len(pairs)) % 4 == 3
-        self.model, self.thresholds = None, np.full(len(LABELS), -np.inf)
-        if len(pairs) >= 40:
-            hashed, dense = [p.buckets() for p in pairs], np.array([p.dense() for p in pairs], np.float64)
-            kept = np.flatnonzero(~held)
-            self.model = LogisticModel(len(LABELS), dense.shape[1]).fit([hashed[i] for i in kept], dense[kept], labels[kept])
-            logits = self.model.logits([hashed[i] for i in np.flatnonzero(held)], dense[held])
-            self.thresholds = np.array([recall_threshold(logits[:, k], labels[held, k] > 0, RECALL, MARGIN) for k in range(len(LABELS))])
-
-    def candidates(self, pairs: list[Pair]) -> np.ndarray:
-        """Which labels pass their threshold; all do where there was nothing to learn from."""
-        if self.model is None or not pairs:
-            return np.ones((len(pairs), len(LABELS)), bool)
-        return self.model.logits([p.buckets() for p in pairs], np.array([p.dense() for p in pairs], np.float64)) >= self.thresholds
-
-
-CHECKED = ("empty", "refusal", "copy", "language")
-
-
-def _judge(classifier: Classifier, texts: list[str | None], prompts: list[str | None]) -> list[str | None]:
-    """The first label that passes classifier and check; ``truncated`` is left to be checked."""
-    pairs = [Pair(t, p) for t, p in zip(texts, prompts, strict=True)]
-    out: list[str | None] = []
-    for pair, passed in zip(pairs, classifier.candidates(pairs), strict=True):
-        found = next((name for k, name in enumerate(CHECKED) if passed[k] and getattr(pair, name)()), None)
-        out.append(found or ("truncated" if passed[-1] else None))
-    return out
-
-
-def training_sample(raw: DataFrame, prompts: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """``size`` responses at most with their prompts, the smallest by digest."""
-    few = raw.where("response_text is not null").select("prompt_file", "response_text").orderBy(F.xxhash64("response_text"), "response_text", "prompt_file").limit(size)
-    return [(r[0], r[1]) for r in few.join(prompts.select("prompt_file", "prompt_text").dropDuplicates(["prompt_file"]), "prompt_file", "left").select("response_text", "prompt_text").collect()]
-
-
-def label_responses(raw: DataFrame, prompts: DataFrame) -> DataFrame:
-    """(run_id, defect) of the rows that pass classifier and checks, ``truncated`` still unchecked."""
+        self.model, self.thresholds, self.held = None, np.full(len(LABELS), np.inf), {}
+        sound = (sound * (1 + LEAST // max(1, len(sound))))[: max(LEAST, len(sound))] if len(sound) >= 5 else []
+        pairs, labels = made_defects(sound, np.random.default_rng(seed))
+        if pairs:
+            hashed, dense = features(pairs)
+            held = np.arange(len(pairs)) % 4 == 3
+            kept, out = np.flatnonzero(~held), np.flatnonzero(held)
+            self.model = LogisticModel(len(LABELS), dense.shape[1]).fit([hashed[i] for i in kept], dense[kept], labels[kept], steps=100)
+            logits = self.model.logits([hashed[i] for i in out], dense[out])
+            for k in range(len(LABELS)):
+                hit = labels[out, k] > 0
+                self.thresholds[k] = best_threshold(logits[:, k], hit)
+                if LABELS[k] in CHECKED and hit.any():
+                    self.thresholds[k] = float(np.quantile(logits[hit, k], 1 - RECALL)) - MARGIN
+            passed = logits >= self.thresholds
+            for k, label in enumerate(LABELS):
+                both = (passed[:, k] & (labels[out, k] > 0)).sum()
+                self.held[label] = (both / max(1, labels[out, k].sum()), both / max(1, passed[:, k].sum()))
+
+
+def features(pairs: list[tuple[str | None, str | None]]) -> tuple[list[np.ndarray], np.ndarray]:
+    reader = Reader()
+    read = [reader.read(*pair) for pair in pairs]
+    return [np.concatenate([*(x.buckets for x in lines), np.array(ends, np.int32)]).astype(np.int32) for lines, ends, _ in read], np.array([dense for *_, dense in read], np.float64)
+
+
+class Judge:
+    """Labels of pairs by one classifier; what a line adds to the score is kept by line."""
+
+    def __init__(self, classifier: Classifier) -> None:
+        self.classifier, self.reader, self.own = classifier, Reader(), {}
+
+    def _line(self, line: Line) -> np.ndarray:
+        found = self.own.get(id(line))
+        if found is None or found[0] is not line:
+            if len(self.own) > KNOWN:
+                self.own.clear()
+            found = self.own[id(line)] = (line, np.append(self.classifier.model.weights[line.buckets].sum(0), len(line.buckets)))
+        return found[1]
+
+    def logits(self, texts: list[str | None], prompts: list[str | None]) -> np.ndarray:
+        model, total, dense = self.classifier.model, [], []
+        for text, prompt in zip(texts, prompts, strict=True):
+            lines, ends, more = self.reader.read(text, prompt)
+            score = sum(map(self._line, lines), np.zeros(len(LABELS) + 1))
+            total.append((score[:-1] + model.weights[ends].sum(0)) / np.sqrt(score[-1] + len(ends)))
+            dense.append(more)
+        return np.array(total) + ((np.array(dense) - model.center) / model.scale) @ model.dense + model.bias
+
+    def labels(self, texts: list[str | None], prompts: list[str | None]) -> list[str | None]:
+        """The first label that passes; ``truncated`` is still to be checked."""
+        if not texts:
+            return []
+        if self.classifier.model is None:
+            return ["empty" if content_free(t) else "truncated" for t in texts]
+        passed = self.logits(texts, prompts) >= self.classifier.thresholds
+        out: list[str | None] = []
+        for text, prompt, own in zip(texts, prompts, passed, strict=True):
+            if not (text or "").strip() or (own[0] and content_free(text)):
+                out.append("empty")
+                continue
+            own = own & [False, True, bool(prompt), bool(prompt), True]
+            out.append(LABELS[int(own.argmax())] if own.any() else None)
+        return out
+
+
+def training_sample(raw: DataFrame, prompts: DataFrame, cut: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
+    """``size`` distinct responses at most that aren't known as cut, with their prompts, the smallest by digest."""
+    whole = raw.where("response_text is not null").join(cut, "run_id", "left_anti").select("prompt_file", "response_text").distinct()
+    few = whole.orderBy(F.xxhash64("prompt_file", "response_text"), "response_text", "prompt_file").limit(size)
+    return [(r[0], r[1]) for r in few.join(prompts, "prompt_file", "left").select("response_text", "prompt_text").collect()]
+
+
+def label_responses(raw: DataFrame, prompts: DataFrame, cut: DataFrame) -> DataFrame:
+    """(run_id, defect) of the rows that the classifier passes, ``truncated`` still unchecked."""
     spark = raw.sparkSession
-    classifier = spark.sparkContext.broadcast(Classifier(training_sample(raw, prompts)))
-    prompts = prompts.select("prompt_file", "prompt_text").dropDuplicates(["prompt_file"])
+    classifier = spark.sparkContext.broadcast(Classifier(training_sample(raw, prompts, cut)))
     rows = spread(raw.select("run_id", "prompt_file", "response_text").where("run_id is not null"))
     if width(prompts) <= PROMPT_BYTES:
         known = spark.sparkContext.broadcast({r[0]: r[1] for r in prompts.collect()})
@@ -262,20 +388,22 @@ def label_responses(raw: DataFrame, prompts: DataFrame) -> DataFrame:
         known, rows = None, rows.join(prompts, "prompt_file", "left").select("run_id", "prompt_text", "response_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(classifier.value)
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 asked = batch.column(1).to_pylist()
                 asked = [known.value.get(x) for x in asked] if known else asked
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_judge(classifier.value, batch.column(2).to_pylist(), asked), pa.string())], ["run_id", "defect"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(judge.labels(batch.column(2).to_pylist(), asked), pa.string())], ["run_id", "defect"])
 
     return rows.mapInArrow(run, "run_id string, defect string").where("defect is not null")
 
 
 def broken_pairs(raw: DataFrame, prompts: DataFrame) -> DataFrame:
     """(run_id, defect): every defective run once, with the first defect that applies."""
-    cut = truncation.truncated_runs(raw, prompts).withColumnRenamed("run_id", "cut_id")
-    labels = checkpoint(label_responses(raw, prompts))
-    checked = labels.where("defect = 'truncated'").join(cut, F.col("run_id") == F.col("cut_id"), "left_semi")
+    asked = prompts.groupBy("prompt_file").agg(F.min("prompt_text").alias("prompt_text"))
+    cut = checkpoint(truncation.truncated_runs(raw, asked))
+    labels = label_responses(raw, asked, cut)
+    checked = labels.join(cut.withColumnRenamed("run_id", "cut_id"), F.col("run_id") == F.col("cut_id"), "left").where("defect != 'truncated' or cut_id is not null")
     order = F.array_position(F.array(*map(F.lit, LABELS)), F.col("defect"))
-    return labels.where("defect != 'truncated'").unionByName(checked).groupBy("run_id").agg(F.min_by("defect", order).alias("defect"))
+    return checked.groupBy("run_id").agg(F.min_by("defect", order).alias("defect"))

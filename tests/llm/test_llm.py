@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.llm import abuse, encode, mapping, mixing, pairs, seeds, truncation
+from sondage.llm import abuse, encode, mapping, mixing, pairs, phrases, seeds, truncation
 
 MODEL = "ENTITY Order\nPK order_no\nATTR order_no: integer : PK\nATTR total_amt: decimal\nATTR client_no: integer : FK\nENTITY Client\nPK client_no\nATTR client_no: integer : PK\nATTR client_name: varchar\nREL Order -> Client : N -> 1 : FK=client_no"
 PROMPT = "You are given a flat table from the area of sales. Propose a conceptual data model for it.\nName the entities, their keys and attributes.\n\nDATA (2 rows)\norder_no,total_amt,client_no,client_name\n17,20.5,3,Karlo Menta\n18,11.0,4,Tilda Ros\n\nOUTPUT FORMAT\nENTITY <Name>\nPK <column>"
@@ -41,13 +41,50 @@ def test_repeated_cut_texts_are_found(spark, prompts):
     assert found == {f"r{len(texts) + i}" for i in range(len(cut) * 3)}
 
 
-def test_pair_labels_on_held_out_defects(spark):
-    rng = np.random.default_rng(99)
-    sample = [(MODEL.replace("Order", f"Order{i % 7}") + ("\n\nNo column was left without an owner." if i % 2 else ""), PROMPT) for i in range(60)]
-    model = pairs.Classifier(sample)
-    made, labels = pairs._models([(t, p) for t, p in sample[:20]], rng)
-    recall = (model.candidates(made) & (labels > 0)).sum(0) / np.maximum(1, (labels > 0).sum(0))
-    assert (recall >= 0.9).all(), recall  # some made cuts end a line and can't be told
+NAMES = ["Order", "Route", "Ward", "Pupil", "Loan", "Berth", "Artist"]
+SOUND = [(MODEL.replace("Order", f"{NAMES[i % 7]}{i}").replace("total", f"sum{i % 11}") + ("\n\nNo column was left without an owner." if i % 2 else ""), PROMPT) for i in range(80)]
+
+
+def test_pair_labels_on_held_out_defects():
+    classifier = pairs.Classifier(SOUND[:60])
+    made, labels = pairs.made_defects(SOUND[60:], np.random.default_rng(99))
+    passed = pairs.Judge(classifier).logits([t for t, _ in made], [p for _, p in made]) >= classifier.thresholds
+    both = (passed & (labels > 0)).sum(0)
+    assert (both / np.maximum(1, labels.sum(0)) >= 0.9).all() and (both / np.maximum(1, passed.sum(0)) >= 0.9).all(), (both, labels.sum(0), passed.sum(0))
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Regrettably this is something our team has been told to stay away from.", "refusal"),
+        ("I must decline.", "refusal"),
+        ("We are not going to look into these figures, and nobody here will do so. " * 12, "refusal"),
+        ("Here the columns order_no and total_amt belong to people, thus you get nothing from us.", "refusal"),
+        ("propose a conceptual DATA model for it. name the entities", "copy"),
+        ("> " + PROMPT.replace("\n", "\n> "), "copy"),
+        ("Die Tabelle hat zwei Dinge, die ich hier getrennt habe, weil sie nicht von dem gleichen Schlüssel abhängen.\n" + MODEL, "language"),
+        ("---", "empty"),
+        (MODEL[: MODEL.index(": decimal") + 4], "truncated"),
+        (MODEL + "\nThis holds for all", "truncated"),
+    ],
+)
+def test_pair_labels_of_new_wordings(text, label):
+    assert pairs.Judge(pairs.Classifier(SOUND)).labels([text], [PROMPT]) == [label]
+
+
+def test_refusals_are_no_lines_of_the_answers(sf):
+    corpus = "\n".join(pd.read_parquet(f"{sf}/raw_records.parquet", columns=["response_text"]).response_text.dropna()).lower()
+    parts = [x.lower().strip(" .,!") for three in phrases.REFUSALS.values() for part in three for x in part]
+    assert not [x for x in parts if len(x.split()) >= 4 and x in corpus]
+
+
+def test_kept_lines_give_the_same_scores():
+    classifier = pairs.Classifier(SOUND)
+    made, _ = pairs.made_defects(SOUND[:9], np.random.default_rng(3))
+    hashed, dense = pairs.features(made)
+    judge = pairs.Judge(classifier)
+    for _ in range(2):
+        assert np.allclose(judge.logits([t for t, _ in made], [p for _, p in made]), classifier.model.logits(hashed, dense), atol=1e-3)
 
 
 def test_broken_pairs(spark, prompts):
@@ -55,7 +92,7 @@ def test_broken_pairs(spark, prompts):
         MODEL: None, None: "empty", " ": "empty", "```\n```": "empty", "n/a": "empty", "I'm sorry, but I can't help with that request.": "refusal", PROMPT: "copy", PROMPT.upper(): "copy", MODEL[:-4]: "truncated",
         "Die folgenden Entitäten decken alle Spalten der Tabelle ab.\n\n" + MODEL: "language", 'One header reads "Bemerkung", which is German for remark.\n\n' + MODEL: None, PROMPT[:90] + "\n\n" + MODEL: None, "x" * 100_000 + "\n" + MODEL: None,
     }
-    df = raw(spark, [MODEL.replace("Client", f"Client{i}") for i in range(40)] + list(texts))
+    df = raw(spark, [t for t, _ in SOUND[:40]] + list(texts))
     found = {r.run_id: r.defect for r in pairs.broken_pairs(df.unionByName(df), prompts).collect()}
     assert found == {f"r{40 + i}": d for i, d in enumerate(texts.values()) if d}
     assert pairs.broken_pairs(df.limit(0), prompts).count() == 0
