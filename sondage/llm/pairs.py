@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm import truncation
-from sondage.llm.linear import LogisticModel, hashed_words, word_hash
+from sondage.llm.linear import BUCKETS, LogisticModel
 from sondage.llm.phrases import HITS, LANGUAGES, NOTHING, REFUSALS, WORDS
 from sondage.session import checkpoint, spread, width
 
@@ -64,141 +66,163 @@ def coded(word: str) -> bool:
     return "_" in word or any(c.isdigit() for c in word)
 
 
-class Line:
-    """What a line adds, whatever text it stands in."""
+class Lines(dict):
+    """Lines by their text, as places in ``words``, ``masked`` and ``facts``: what a line adds, whatever text it stands in."""
 
-    __slots__ = ("coded", "fence", "hits", "letters", "said", "statement", "words", "_buckets")
+    def __init__(self) -> None:
+        self.words: list[list[str]] = []
+        self.masked: list[str] = []
+        self.facts: list[tuple[float, ...]] = []
 
-    def __init__(self, text: str) -> None:
-        self._buckets = None
-        self.words = WORD.findall(text.lower())
-        self.statement = bool("<" not in text and LINE.match(text))
-        self.coded = sum(map(coded, self.words))
-        self.letters = sum(map(len, self.words))
-        self.fence = bool(FENCE.match(text))
-        self.hits, self.said = NO_HITS, 0
-        if (not LINE.match(text) or text.rstrip().endswith(".")) and text.count(",") * 3 < len(self.words) + 3:
+    def __missing__(self, text: str) -> int:
+        words = WORD.findall(text.lower())
+        codes = [coded(w) or len(w) > 24 for w in words]
+        hits, said = NO_HITS, 0
+        model = LINE.match(text)
+        if (not model or text.rstrip().endswith(".")) and text.count(",") * 3 < len(words) + 3:
             prose = [w for w in WORD.findall(unicodedata.normalize("NFC", QUOTED.sub(" ", text)).lower().replace("’", "'")) if not coded(w)]
-            self.said = len(prose)
-            self.hits = sum((HITS[w] for w in prose if w in HITS), NO_HITS)
+            said = len(prose)
+            hits = sum((HITS[w] for w in prose if w in HITS), NO_HITS)
+        self.words.append(words)
+        self.masked.append(" ".join(["#" if c else w for w, c in zip(words, codes, strict=True)]))
+        self.facts.append((len(words), sum(map(len, words)), bool(model and "<" not in text), sum(map(coded, words)), bool(FENCE.match(text)), said, *hits))
+        self[text] = len(self.words) - 1
+        return len(self.words) - 1
 
-    @property
-    def buckets(self) -> np.ndarray:
-        """Hashed words and word pairs, identifiers masked."""
-        if self._buckets is None:
-            self._buckets = hashed_words(["#" if coded(w) or len(w) > 24 else w for w in self.words])
-        return self._buckets
 
-
-class Lines(dict):
-    """Lines by their text."""
-
-    def __missing__(self, text: str) -> Line:
-        if len(self) > KNOWN:
-            self.clear()
-        line = self[text] = Line(text)
-        return line
+@lru_cache(1 << 16)
+def line_buckets(masked: str) -> np.ndarray:
+    """Hashed words and word pairs of a line, identifiers masked."""
+    words = masked.split(" ") if masked else []
+    return np.array([crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words] + [crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) % BUCKETS for a, b in zip(words, words[1:], strict=False)], np.int32)
 
 
 def _flat(text: str) -> str:
     return " ".join(text.lower().split()).lstrip("> ")
 
 
-class Prompt:
-    """What a response is compared with."""
+class Prompt(dict):
+    """What a response is compared with; by line, the words of it that stand in the prompt."""
 
     def __init__(self, text: str, lines: Lines) -> None:
         words = WORD.findall(text.lower())
         self.grams = {hash(tuple(words[i : i + n])) for n in range(1, 5) for i in range(len(words) - n + 1)}
         self.lines = sorted({_flat(x) for x in text.split("\n")})
-        self.hits = sum((lines[x].hits for x in text.split("\n")), NO_HITS)
-        self.asked = int(self.hits.argmax()) if self.hits.max() > 0 else -1
-        self.copied: dict[str, int] = {}
+        self.read = lines
+        hits = np.sum([lines.facts[lines[x]][6:] for x in text.split("\n")], 0)
+        self.asked = int(hits.argmax()) if hits.max() > 0 else -1
 
-    def covered(self, text: str, line: Line) -> int:
+    def __missing__(self, at: int) -> int:
         """The words of a line that stand in the prompt, four in a row or the whole line."""
-        found = self.copied.get(text)
-        if found is None:
-            words = line.words
-            size = min(4, len(words))
-            inside = np.zeros(len(words), bool)
-            for i in range(len(words) - size + 1):
-                if hash(tuple(words[i : i + size])) in self.grams:
-                    inside[i : i + size] = True
-            if len(self.copied) > KNOWN:
-                self.copied.clear()
-            found = self.copied[text] = int(inside.sum()) if len(words) > 1 else 0
-        return found
+        words = self.read.words[at]
+        size = min(4, len(words))
+        inside = bytearray(len(words))
+        for i in range(len(words) - size + 1):
+            if hash(tuple(words[i : i + size])) in self.grams:
+                inside[i : i + size] = b"\1" * size
+        self[at] = sum(inside) if len(words) > 1 else 0
+        return self[at]
 
     def goes_on(self, last: str) -> bool:
         """Whether a line of the prompt begins with this one and goes on."""
-        from bisect import bisect_right
-
         at = bisect_right(self.lines, last)
         return bool(last) and at < len(self.lines) and self.lines[at].startswith(last) and (at == 0 or self.lines[at - 1] != last)
 
 
+def _begun(body: str, word: str) -> bool:
+    """Whether a word of the text goes on where the last one ends, and the last one stands nowhere else."""
+    low, begun = body.lower(), False
+    at, end = low.find(word), len(low) - len(word)
+    while -1 < at < end:
+        after = low[at + len(word)]
+        if at == 0 or not (low[at - 1].isalnum() or low[at - 1] == "_"):
+            if not (after.isalnum() or after == "_"):
+                return False
+            begun = True
+        at = low.find(word, at + 1)
+    return begun
+
+
 class Reader:
     """Reads pairs into features; keeps lines and prompts."""
 
     def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
         self.lines, self.prompts = Lines(), {}
 
     def prompt(self, text: str | None) -> Prompt:
         if text not in self.prompts:
-            if len(self.prompts) > 4096:
-                self.prompts.clear()
             self.prompts[text] = Prompt(text or "", self.lines)
         return self.prompts[text]
 
-    def read(self, text: str | None, prompt: str | None) -> tuple[list[Line], list[int], list[float]]:
-        """The lines, the hashed features of the end and the dense features."""
-        body = (text or "").rstrip()
+    def read(self, pairs: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lines of all texts in a row, the text of each, four hashed features of each text's end, and the dense features."""
+        ids, sizes, ends, own = [], [], [], []
+        for text, prompt in pairs:
+            body, asked = (text or "").rstrip(), self.prompt(prompt)
+            whole = [x for x in body.replace("\r", "\n").split("\n") if x and not x.isspace()]
+            at = list(map(self.lines.__getitem__, whole))
+            ids += at
+            sizes.append(len(at))
+            end, facts = self._end(body, whole[-1] if whole else "", asked)
+            ends.append(end)
+            own.append((sum(map(asked.__getitem__, at)), asked.asked, *facts))
+        ids, sizes, own = np.array(ids, np.int64), np.array(sizes, np.int64), np.array(own, np.float64).reshape(len(pairs), -1)
+        row = np.repeat(np.arange(len(pairs)), sizes)
+        facts = np.array(self.lines.facts, np.float64).reshape(len(self.lines.words), -1)[ids] if len(ids) else np.zeros((0, 6 + len(LANGUAGES)))
+        total = np.stack([np.bincount(row, facts[:, k], len(pairs)) for k in range(6 + len(LANGUAGES))], 1)
+        return ids, row, np.array(ends, np.int32).reshape(len(pairs), 4), self._dense(total, own)
+
+    @staticmethod
+    def _end(body: str, line: str, asked: Prompt) -> tuple[tuple[int, ...], tuple[float, ...]]:
+        """Hashed final trigrams, by word and by class, and what the last line looks like."""
         marked = MARK.search(body)
-        whole, asked = [x for x in body.replace("\r", "\n").split("\n") if x.strip()], self.prompt(prompt)
-        lines = [self.lines[x] for x in whole]
-        words = sum(len(x.words) for x in lines)
-        letters = sum(x.letters for x in lines)
-        statements = sum(x.statement for x in lines)
-        columns = sum(x.coded for x in lines)
-        copied = sum(map(asked.covered, whole, lines)) / max(1, words)
-        hits = sum((x.hits for x in lines if x.said), NO_HITS)
-        said = sum(x.said for x in lines)
-        own = float(hits[asked.asked]) if asked.asked >= 0 else 0.0
-        other = float(max((h for k, h in enumerate(hits) if k != asked.asked), default=0)) if asked.asked >= 0 else 0.0
-        last = PLAIN.sub("", re.sub("→|⇒|⟶|➔", "->", MARK.sub("", whole[-1]).strip())).strip() if whole else ""
-        keyword = re.match(r"(?i)(entity|pk|attr|rel)\b", last)
+        last = PLAIN.sub("", re.sub("→|⇒|⟶|➔", "->", MARK.sub("", line).strip())).strip()
+        keyword = KEYWORD.match(last)
         tokens = ["^", "^", *TOKEN.findall(last.lower())] if last else ["^", "^", "^"]
-        kinds = ["#" if coded(t) else t if t in WORDLESS or not t[0].isalnum() else "w" for t in tokens]
-        begun = seen = False
-        if last and tokens[-1][0].isalnum():
-            mine = tokens[-1]
-            for line in lines[:-1]:
-                for w in line.words:
-                    if w.startswith(mine):
-                        seen, begun = seen or w == mine, begun or w != mine
+        kinds = ["#" if coded(t) else t if t in WORDLESS or not t[0].isalnum() else "w" for t in tokens[-3:]]
+        begun = bool(last) and tokens[-1][0].isalnum() and _begun(body, tokens[-1])
         complete = bool(keyword) and bool(ATTR.match(last) or REL.match(last))
-        begun_type = complete and keyword[1].lower() == "attr" and tokens[-1] not in TYPES
-        open_fence = sum(x.fence for x in lines) % 2 == 1
-        final = body[-1:]
-        ends = [_end("3", *kinds[-3:-1], tokens[-1]), _end("k", *kinds[-3:]), _end("2", kinds[-2], tokens[-1]), _end("c", keyword[1].lower() if keyword else "", final if not final.isalnum() else "w")]
-        dense = [
-            np.log1p(words), words == 0, words < 4, np.log1p(letters), content_free(text) if letters < 40 else False, not letters, np.log1p(statements), statements == 0, statements < 2,
-            copied, copied * (statements < 2), copied >= 0.4, (copied >= 0.4) * (statements < 2), (copied < 0.4) * (statements == 0) * (words > 0),
-            np.log1p(own), np.log1p(other), np.log1p(other) - np.log1p(own), other > 1.5 * own + 1, (other > 1.5 * own + 1) * (said > 4), np.log1p(columns), columns < 2, (columns < 2) * (statements == 0) * (copied < 0.4) * (words > 0),
-            open_fence, marked is not None, final in ".!?", final in ",:;-", final in "`~", bool(keyword) and not complete, complete, complete * begun * (not seen), begun * (not seen), begun_type,
-            asked.goes_on(_flat(last)) * (copied >= 0.4), not keyword and final.isalnum() and statements > 0, len(last) < 4, (said > 0) * (final not in ".!?`~)") * (not keyword),
-        ]
-        return lines, ends, [float(x) for x in dense]
-
-
+        final, kind = body[-1:], keyword[1].lower() if keyword else ""
+        ends = (_hash("3", *kinds[:2], tokens[-1]), _hash("k", *kinds), _hash("2", kinds[1], tokens[-1]), _hash("c", kind, "w" if final.isalnum() else final))
+        return ends, (
+            marked is not None, final != "" and final in ".!?", final != "" and final in ",:;-", final != "" and final in "`~", bool(keyword), complete, begun, complete and kind == "attr" and tokens[-1] not in TYPES,
+            asked.goes_on(_flat(last)), final.isalnum(), len(last) < 4, content_free(body) if len(body) < 200 else False,
+        )
+
+    @staticmethod
+    def _dense(total: np.ndarray, own: np.ndarray) -> np.ndarray:
+        words, letters, statements, columns, fences, said = total[:, :6].T
+        hits, asked = total[:, 6:], own[:, 1].astype(int)
+        covered, marked, stop, comma, tick, keyword, complete, begun, odd_type, goes_on, alnum, short, free = own[:, [0, *range(2, 14)]].T
+        known = asked >= 0
+        at = np.arange(len(total))
+        mine = np.where(known, hits[at, np.maximum(asked, 0)], 0)
+        others = hits.copy()
+        others[at, np.maximum(asked, 0)] = 0
+        other = np.where(known, others.max(1, initial=0), 0)
+        copied = covered / np.maximum(1, words)
+        log = np.log1p
+        few, foreign = statements < 2, other > 1.5 * mine + 1
+        return np.stack([
+            log(words), words == 0, words < 4, log(letters), free, letters == 0, log(statements), statements == 0, few,
+            copied, copied * few, copied >= 0.4, (copied >= 0.4) * few, (copied < 0.4) * (statements == 0) * (words > 0),
+            log(mine), log(other), log(other) - log(mine), foreign, foreign * (said > 4), log(columns), columns < 2, (columns < 2) * (statements == 0) * (copied < 0.4) * (words > 0),
+            fences % 2, marked, stop, comma, tick, keyword * (1 - complete), complete, complete * begun, begun, odd_type,
+            goes_on * (copied >= 0.4), (1 - keyword) * alnum * (statements > 0), short, (said > 0) * (1 - np.maximum(stop, tick)) * (1 - keyword),
+        ], 1).astype(np.float64)
+
+
+KEYWORD = re.compile(r"(?i)(entity|pk|attr|rel)\b")
 WORDLESS = frozenset(("entity", "pk", "attr", "rel", "fk", "one", "many", "n", "m"))
 TYPES = frozenset("integer int bigint decimal numeric float date datetime timestamp time varchar text string char boolean pk fk".split())
 
 
 @lru_cache(1 << 16)
-def _end(*parts: str) -> int:
-    return int(hashed_words(["\1end", *parts], (len(parts) + 1,))[0])
+def _hash(*parts: str) -> int:
+    return crc32("\1".join(("end", *parts)).encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def content_free(text: str | None) -> bool:
@@ -274,7 +298,7 @@ def made_defects(sound: list[tuple[str, str]], rng: np.random.Generator) -> tupl
         others = [x for k, texts in by_language.items() if k >= 0 and k != asked for x in texts[:20]]
         if others:
             swapped = _pick(rng, others)
-            spoken = sum((reader.lines[x].hits for x in swapped.split("\n")), NO_HITS)
+            spoken = np.sum([reader.lines.facts[reader.lines[x]][6:] for x in swapped.split("\n")], 0)
             if spoken.max() >= 4 and spoken.argmax() != asked:
                 add(swapped, prompt, "language")
     return pairs, np.array(labels, np.float64).reshape(-1, len(LABELS))
@@ -298,11 +322,10 @@ class Classifier:
         reader = Reader()
         sound = []
         for text, prompt in sample:
-            lines, _, _ = reader.read(text, prompt)
             asked = reader.prompt(prompt)
-            hits = sum((x.hits for x in lines), NO_HITS)
-            copied = sum(map(asked.covered, [x for x in text.rstrip().replace("\r", "\n").split("\n") if x.strip()], lines))
-            if sum(x.statement for x in lines) >= 4 and copied < 0.3 * sum(len(x.words) for x in lines) and (hits.max() < 1.5 or hits.argmax() == asked.asked) and sum(x.fence for x in lines) % 2 == 0:
+            ids = [reader.lines[x] for x in text.rstrip().replace("\r", "\n").split("\n") if x.strip()]
+            words, _, statements, _, fences, _, *hits = np.sum([reader.lines.facts[i] for i in ids] or [(0,) * (6 + len(LANGUAGES))], 0)
+            if statements >= 4 and sum(asked[i] for i in ids) < 0.3 * words and (max(hits) < 1.5 or int(np.argmax(hits)) == asked.asked) and fences % 2 == 0:
                 sound.append((text, prompt or ""))
         self.model, self.thresholds, self.held = None, np.full(len(LABELS), np.inf), {}
         sound = (sound * (1 + LEAST // max(1, len(sound))))[: max(LEAST, len(sound))] if len(sound) >= 5 else []
@@ -326,32 +349,36 @@ class Classifier:
 
 def features(pairs: list[tuple[str | None, str | None]]) -> tuple[list[np.ndarray], np.ndarray]:
     reader = Reader()
-    read = [reader.read(*pair) for pair in pairs]
-    return [np.concatenate([*(x.buckets for x in lines), np.array(ends, np.int32)]).astype(np.int32) for lines, ends, _ in read], np.array([dense for *_, dense in read], np.float64)
+    ids, row, ends, dense = reader.read(pairs)
+    own = np.split(ids, np.searchsorted(row, np.arange(1, len(pairs))))
+    return [np.concatenate([*(line_buckets(reader.lines.masked[i]) for i in at), end]).astype(np.int32) for at, end in zip(own, ends, strict=True)], dense
 
 
 class Judge:
     """Labels of pairs by one classifier; what a line adds to the score is kept by line."""
 
     def __init__(self, classifier: Classifier) -> None:
-        self.classifier, self.reader, self.own = classifier, Reader(), {}
+        self.classifier, self.reader = classifier, Reader()
+        self.own, self.by_mask = np.empty((0, len(LABELS) + 1)), {}
 
-    def _line(self, line: Line) -> np.ndarray:
-        found = self.own.get(id(line))
-        if found is None or found[0] is not line:
-            if len(self.own) > KNOWN:
-                self.own.clear()
-            found = self.own[id(line)] = (line, np.append(self.classifier.model.weights[line.buckets].sum(0), len(line.buckets)))
-        return found[1]
+    def _mask(self, masked: str) -> np.ndarray:
+        found = self.by_mask.get(masked)
+        if found is None:
+            buckets = line_buckets(masked)
+            found = self.by_mask[masked] = np.append(self.classifier.model.weights[buckets].sum(0), len(buckets))
+        return found
 
     def logits(self, texts: list[str | None], prompts: list[str | None]) -> np.ndarray:
-        model, total, dense = self.classifier.model, [], []
-        for text, prompt in zip(texts, prompts, strict=True):
-            lines, ends, more = self.reader.read(text, prompt)
-            score = sum(map(self._line, lines), np.zeros(len(LABELS) + 1))
-            total.append((score[:-1] + model.weights[ends].sum(0)) / np.sqrt(score[-1] + len(ends)))
-            dense.append(more)
-        return np.array(total) + ((np.array(dense) - model.center) / model.scale) @ model.dense + model.bias
+        model = self.classifier.model
+        if len(self.reader.lines) > KNOWN:
+            self.reader.reset()
+            self.own, self.by_mask = self.own[:0], {}
+        ids, row, ends, dense = self.reader.read(list(zip(texts, prompts, strict=True)))
+        if len(self.own) < len(self.reader.lines):
+            self.own = np.concatenate([self.own, [self._mask(x) for x in self.reader.lines.masked[len(self.own) :]]])
+        score = np.stack([np.bincount(row, self.own[ids, k], len(texts)) for k in range(len(LABELS) + 1)], 1)
+        hashed = (score[:, :-1] + model.weights[ends].sum(1)) / np.sqrt(score[:, -1:] + ends.shape[1])
+        return hashed + ((dense - model.center) / model.scale) @ model.dense + model.bias
 
     def labels(self, texts: list[str | None], prompts: list[str | None]) -> list[str | None]:
         """The first label that passes; ``truncated`` is still to be checked."""
