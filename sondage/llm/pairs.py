@@ -399,8 +399,9 @@ class Judge:
 
 def training_sample(raw: DataFrame, prompts: DataFrame, cut: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
     """``size`` distinct responses at most that aren't known as cut, with their prompts, the smallest by digest."""
-    whole = raw.where("response_text is not null").join(cut, "run_id", "left_anti").select("prompt_file", "response_text").distinct()
-    few = whole.orderBy(F.xxhash64("prompt_file", "response_text"), "response_text", "prompt_file").limit(size)
+    sound = raw.where("response_text is not null and run_id is not null").select("run_id", F.xxhash64("prompt_file", "response_text").alias("digest")).join(cut, "run_id", "left_anti")
+    chosen = [r[0] for r in sound.groupBy("digest").agg(F.min("run_id").alias("run_id")).orderBy("digest").limit(size).select("run_id").collect()]
+    few = raw.where(F.col("run_id").isin(chosen) & F.col("response_text").isNotNull()).select("prompt_file", "response_text").distinct().orderBy(F.xxhash64("prompt_file", "response_text"), "response_text", "prompt_file")
     return [(r[0], r[1]) for r in few.join(prompts, "prompt_file", "left").select("response_text", "prompt_text").collect()]
 
 
