@@ -1,15 +1,15 @@
 """Graphs of dependencies: closure, bijections, closest dependents, artifacts, synthesis (PF7-PF17).
 
-Edges are at most columns x columns: metadata, whose size the schema bounds. Relational steps stay DataFrames; the
-order-dependent merge and the synthesis run on the collected edges.
+Edges are at most columns x columns: metadata, whose size the schema bounds. All steps are relational; a table is profiled once,
+whatever its headers are called, and the models of all header variants come out of one query over that metadata.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.text import entity_name
+from sondage.functions.text import entity_name, header
 from sondage.operators.profile import distinct_profile, infer_types, minimal_unique_combination, single_fds
 from sondage.session import checkpoint
 
@@ -60,49 +60,97 @@ def artifacts(df: DataFrame, mined: DataFrame, expected: DataFrame, step: int =
     return rest.join(entailed, ["lhs", "rhs"], "left_anti")
 
 
-def merge_bijections(columns: list[str], fds: dict[str, set[str]], lengths: dict[str, float]) -> tuple[dict[str, set[str]], set[str]]:
-    """PF10, SO3: of two columns that determine each other one stays a determinant: more dependents, then shorter values, then the name."""
-    fds = {c: set(fds.get(c, ())) for c in columns}
-    demoted: set[str] = set()
-    for x in sorted(columns):
-        for y in sorted(fds.get(x, ())):
-            if x in demoted:
-                break
-            if y in demoted or x not in fds.get(y, ()):
-                continue
-            kept, lost = min((x, y), (y, x), key=lambda p: (-len(fds[p[0]]), lengths[p[0]], p[0]))
-            demoted.add(lost)
-            fds[kept] = ((fds[kept] | fds[lost]) - {kept}) | {lost}
-            del fds[lost]
-    return fds, demoted
-
-
-def synthesize(df: DataFrame, columns: list[str]) -> str:
-    """PF11-PF16: a table's model in the line language, from its types and dependencies."""
-    spark: SparkSession = df.sparkSession
-    types = {r[0]: r[1] for r in infer_types(df, columns).collect()}
-    profile = {r["column"]: r["total_length"] / max(1, r["values"]) for r in distinct_profile(df, columns).collect()}
-    mined: dict[str, set[str]] = {}
-    for lhs, rhs in single_fds(df, columns).collect():
-        mined.setdefault(lhs, set()).add(rhs)
-    fds, demoted = merge_bijections(columns, mined, {c: profile.get(c, 0.0) for c in columns})
-    heads = sorted(c for c in columns if c not in demoted and fds.get(c))
-    near = {x: sorted(y for y in fds[x] if not any(z != y and z in fds[x] and y in fds[z] and x not in fds[z] for z in heads)) for x in heads}
-    rows = spark.createDataFrame([(c,) for c in columns], "c string").select("c", entity_name(F.col("c"))).collect()
-    names = {r[0]: r[1] or r[0] for r in rows}
-    used = {*heads, *(y for ys in near.values() for y in ys if y not in heads)}
-    top = [x for x in heads if not any(x in fds[z] for z in heads if z != x)]
-    base = [*((c, False) for c in columns if c not in used), *((x, True) for x in top)]
-    key = minimal_unique_combination(df, [c for c, _ in base] or columns)
-
-    def attribute(column: str, is_key: bool, is_reference: bool) -> str:
-        return f"ATTR {column} : {types.get(column, 'integer')}" + " : PK" * is_key + " : FK" * is_reference
-
-    ordered = sorted(heads, key=lambda x: names[x])
-    lines: list[str] = []
-    for x in ordered:
-        lines += [f"ENTITY {names[x]}", f"PK {x}", attribute(x, True, False), *(attribute(y, False, y in heads) for y in near[x])]
-    lines += ["ENTITY Record", "PK " + ", ".join(key), *(attribute(c, c in key, fk) for c, fk in base)]
-    lines += [f"REL Record -> {names[x]} : 0..N -> 1 : FK={x}" for x in top]
-    lines += [f"REL {names[x]} -> {names[y]} : 0..N -> 1 : FK={y}" for x in ordered for y in near[x] if y in heads]
-    return "\n".join(lines)
+def representatives(profile: DataFrame, edges: DataFrame) -> DataFrame:
+    """PF10, SO3: (model, column, stands_for): columns that determine each other form a class, which its member of most dependents, then shortest values, then least name represents.
+
+    profile: (model, column, mean_length); edges: (model, lhs, rhs), closed as exact dependencies are.
+    """
+    width = edges.groupBy("model", F.col("lhs").alias("column")).agg(F.count("*").alias("dependents"))
+    rated = profile.join(width, ["model", "column"], "left").select("model", "column", F.struct(-F.coalesce("dependents", F.lit(0)), "mean_length", "column").alias("rank"))
+    back = edges.select("model", F.col("rhs").alias("lhs"), F.col("lhs").alias("rhs"))
+    mutual = edges.join(back, ["model", "lhs", "rhs"], "left_semi").select("model", F.col("lhs").alias("column"), F.col("rhs").alias("member"))
+    members = mutual.unionByName(profile.select("model", "column", F.col("column").alias("member")))
+    ranked = members.join(rated.withColumnRenamed("column", "member"), ["model", "member"])
+    return ranked.groupBy("model", "column").agg(F.min_by("member", "rank").alias("stands_for"))
+
+
+# The findings of which a model's text consists, a line each with its place: {columns} (model, column, position, inferred, entity), {edges} (model, lhs, rhs), {standing} (model, column, stands_for).
+HEADS = """
+SELECT s.model, s.column AS head, c.entity FROM {standing} s JOIN {columns} c ON s.model = c.model AND s.column = c.column
+WHERE s.column = s.stands_for AND EXISTS (SELECT 1 FROM {edges} e WHERE e.model = s.model AND e.lhs = s.column)
+"""
+NEAR = """
+SELECT e.model, e.lhs AS head, e.rhs AS near FROM {edges} e JOIN {heads} h ON e.model = h.model AND e.lhs = h.head
+WHERE NOT EXISTS (SELECT 1 FROM {edges} f JOIN {heads} z ON f.model = z.model AND f.rhs = z.head JOIN {edges} g ON g.model = f.model AND g.lhs = f.rhs
+                  WHERE f.model = e.model AND f.lhs = e.lhs AND g.rhs = e.rhs AND f.rhs != e.rhs AND NOT EXISTS (SELECT 1 FROM {edges} b WHERE b.model = f.model AND b.lhs = f.rhs AND b.rhs = f.lhs))
+"""
+# Columns that no entity has taken, in their order, then the heads that no other head determines: the last entity's columns.
+REST = """
+SELECT c.model, c.column, struct(0 AS part, c.position, '' AS name) AS place, false AS refers FROM {columns} c
+WHERE NOT EXISTS (SELECT 1 FROM {heads} h WHERE h.model = c.model AND h.head = c.column) AND NOT EXISTS (SELECT 1 FROM {near} n WHERE n.model = c.model AND n.near = c.column)
+UNION ALL
+SELECT h.model, h.head, struct(1, 0, h.head), true FROM {heads} h WHERE NOT EXISTS (SELECT 1 FROM {edges} e JOIN {heads} z ON e.model = z.model AND e.lhs = z.head WHERE e.model = h.model AND e.rhs = h.head AND e.lhs != h.head)
+"""
+LINES = """
+WITH named AS (SELECT n.*, h.entity, t.inferred, r.head IS NOT NULL AS refers, r.entity AS referred FROM {near} n JOIN {heads} h ON n.model = h.model AND n.head = h.head
+               JOIN {columns} t ON n.model = t.model AND n.near = t.column LEFT JOIN {heads} r ON n.model = r.model AND n.near = r.head),
+keyed AS (SELECT model, explode(key) AS column FROM {keys})
+SELECT model, struct(1 AS block, entity AS a, head AS b, 0 AS c, 0 AS d, '' AS e) AS place, concat('ENTITY ', entity) AS line FROM {heads}
+UNION ALL SELECT model, struct(1, entity, head, 1, 0, ''), concat('PK ', head) FROM {heads}
+UNION ALL SELECT h.model, struct(1, h.entity, h.head, 2, 0, ''), concat('ATTR ', h.head, ' : ', t.inferred, ' : PK') FROM {heads} h JOIN {columns} t ON h.model = t.model AND h.head = t.column
+UNION ALL SELECT model, struct(1, entity, head, 3, 0, near), concat('ATTR ', near, ' : ', inferred, if(refers, ' : FK', '')) FROM named
+UNION ALL SELECT model, struct(2, '', '', 0, 0, ''), 'ENTITY Record' FROM {keys}
+UNION ALL SELECT model, struct(2, '', '', 1, 0, ''), concat('PK ', array_join(key, ', ')) FROM {keys}
+UNION ALL SELECT r.model, struct(2, '', '', 2 + r.place.part, r.place.position, r.place.name), concat('ATTR ', r.column, ' : ', t.inferred, if(k.column IS NOT NULL, ' : PK', ''), if(r.refers, ' : FK', ''))
+          FROM {rest} r JOIN {columns} t ON r.model = t.model AND r.column = t.column LEFT JOIN keyed k ON r.model = k.model AND r.column = k.column
+UNION ALL SELECT r.model, struct(3, '', '', 0, 0, r.column), concat('REL Record -> ', h.entity, ' : 0..N -> 1 : FK=', r.column) FROM {rest} r JOIN {heads} h ON r.model = h.model AND r.column = h.head WHERE r.refers
+UNION ALL SELECT model, struct(4, entity, head, 0, 0, near), concat('REL ', entity, ' -> ', referred, ' : 0..N -> 1 : FK=', near) FROM named WHERE refers
+"""
+
+
+def synthesize(df: DataFrame, columns: list[str], modes: tuple[str, ...] = ("meaningful",)) -> DataFrame:
+    """PF11-PF17: (headers, text): the table's model in the line language, from its types and dependencies, for each way to write its headers.
+
+    The data are read for types, lengths and dependencies once, and once a level for the keys of the rest.
+    """
+    spark = df.sparkSession
+    facts = infer_types(df, columns).join(distinct_profile(df, columns).selectExpr("column", "total_length / greatest(1, values) AS mean_length"), "column", "left")
+    places = spark.createDataFrame([(c, i) for i, c in enumerate(columns)], "column string, position int")
+    facts = checkpoint(places.join(facts, "column", "left").fillna({"mean_length": 0.0, "inferred": "integer"}))
+    mined = checkpoint(single_fds(df, columns))
+    headers = [places.select(F.lit(m).alias("model"), F.col("column").alias("source"), header(F.col("column"), F.col("position") + 1, m).alias("column")) for m in modes]
+    names = checkpoint(_stacked(headers))
+    full = names.join(facts.withColumnRenamed("column", "source"), "source").withColumn("entity", entity_name(F.col("column")))
+    full = checkpoint(full.withColumn("entity", F.when(F.col("entity") != "", F.col("entity")).otherwise(F.col("column"))))
+    left, right = names.select("model", F.col("source").alias("lhs"), F.col("column").alias("l")), names.select("model", F.col("source").alias("rhs"), F.col("column").alias("r"))
+    edges = checkpoint(mined.join(left, "lhs").join(right, ["model", "rhs"]).select("model", F.col("l").alias("lhs"), F.col("r").alias("rhs")))
+    standing = checkpoint(representatives(full.select("model", "column", "mean_length"), edges))
+    heads = checkpoint(spark.sql(HEADS, standing=standing, columns=full, edges=edges))
+    near = checkpoint(spark.sql(NEAR, edges=edges, heads=heads))
+    rest = checkpoint(spark.sql(REST, columns=full, heads=heads, near=near, edges=edges))
+    keys = spark.createDataFrame(_keys(df, columns, modes, rest, names), "model string, key array<string>")
+    lines = spark.sql(LINES, near=near, heads=heads, columns=full, rest=rest, keys=keys, standing=standing)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    return lines.groupBy(F.col("model").alias("headers")).agg(F.array_join(ordered, "\n").alias("text"))
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _keys(df: DataFrame, columns: list[str], modes: tuple[str, ...], rest: DataFrame, names: DataFrame) -> list[tuple[str, list[str]]]:
+    """The key of each variant's last entity, in its headers; equal sets of columns are tested once."""
+    source = {(r["model"], r["column"]): r["source"] for r in names.collect()}
+    order = {m: [r["column"] for r in rest.where(F.col("model") == m).orderBy("place").collect()] for m in modes}
+    tested: dict[tuple[str, ...], list[str]] = {}
+    out = []
+    for mode, own in order.items():
+        wanted = tuple(source[mode, c] for c in own) or tuple(columns)
+        if wanted not in tested:
+            tested[wanted] = minimal_unique_combination(df, list(wanted))
+        back = {source[mode, c]: c for m, c in source if m == mode}
+        out.append((mode, [back[c] for c in tested[wanted]]))
+    return out

@@ -58,3 +58,34 @@ def within_cell_sd(metrics: DataFrame, cell: list[str], by: list[str]) -> DataFr
     scores = long_scores(metrics, list(dict.fromkeys([*cell, *by])))
     cells = scores.groupBy(*dict.fromkeys([*cell, *by]), "dim").agg(F.stddev_samp("f1").alias("sd"))
     return cells.groupBy(*by, "dim").agg(F.count("*").alias("cells"), F.count("sd").alias("cells_with_sd"), F.avg("sd").alias("mean_sd"))
+
+
+def with_model(df: DataFrame, models: dict[str, str]) -> DataFrame:
+    """PRJ4, JN2: ``df`` with ``model``, the configured model of each provider, or the provider's name if it has none."""
+    known = F.create_map(*[F.lit(x) for pair in models.items() for x in pair]) if models else F.from_json(F.lit("{}"), "map<string,string>")
+    return df.withColumn("model", F.coalesce(F.try_element_at(known, F.col("provider")), F.col("provider")))
+
+
+def cell_count(metrics: DataFrame, cell: list[str]) -> DataFrame:
+    """AG13: the number of cells and of runs in them."""
+    return metrics.groupBy(*cell).agg(F.count("*").alias("n")).agg(F.count("*").alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("runs"))
+
+
+def replicate_lists(metrics: DataFrame, cell: list[str]) -> DataFrame:
+    """AG15: F1 of each cell's replicates, in their order; a cell has as many as the design says."""
+    rows = long_scores(metrics, [*cell, "replicate"]).where("f1 is not null")
+    return rows.groupBy(*cell, "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "f1"))), lambda x: x["f1"]).alias("f1s"))
+
+
+def run_counters(matrix: DataFrame, recorded: DataFrame, failed: Column) -> DataFrame:
+    """AG26: of the runs of a matrix, those recorded (done), recorded without an answer (failed) and not recorded (pending), and all."""
+    state = recorded.groupBy("run_id").agg(F.bool_and(failed).alias("failed"))
+    joined = matrix.select("run_id").join(state, "run_id", "left")
+    return joined.agg(
+        F.count_if(F.col("failed") == F.lit(False)).alias("done"), F.count_if(F.coalesce("failed", F.lit(False))).alias("failed"), F.count_if(F.col("failed").isNull()).alias("pending"), F.count("*").alias("total")
+    )
+
+
+def sorted_cube(cube: DataFrame, cell: list[str]) -> DataFrame:
+    """SO2: a cube in the order of its keys."""
+    return cube.orderBy(*cell)

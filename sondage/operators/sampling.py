@@ -49,18 +49,24 @@ def _is(keys: list[str], values: tuple):
     return test
 
 
-def sample_rows(df: DataFrame, keys: list[str], chosen: list[tuple]) -> DataFrame:
-    """FIL7: the rows of the chosen groups."""
+def group_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """AG27, WN9: (keys..., rows, first_row): the groups with the place of their first row, by which they keep the order of the file."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.min(order).alias("first_row"))
+
+
+def sample_rows(df: DataFrame, keys: list[str], chosen: list[tuple], order: str | None = None) -> DataFrame:
+    """FIL7, SO6: the rows of the chosen groups; in the order of the file if ``order`` names the column that has it."""
     names = [f"_key_{i}" for i in range(len(keys))]
     groups = df.sparkSession.createDataFrame(chosen, ", ".join(f"{n} string" for n in names))
     match = F.lit(True)
     for n, k in zip(names, keys, strict=True):
         match = match & (F.col(n) == F.coalesce(F.col(k).cast("string"), F.lit("")))
-    return df.join(groups, match, "left_semi")
+    kept = df.join(F.broadcast(groups), match, "left_semi")  # at most targets x their values x ``least`` groups are chosen
+    return kept.orderBy(order) if order else kept
 
 
 def representativeness(df: DataFrame, sample: DataFrame, columns: list[str], most: int = 50, least: int = 2) -> DataFrame:
-    """PF21: for each column, distinct values and values of at least ``least`` occurrences, in full and in the sample."""
+    """PF21: for each column, distinct values and values of at least ``least`` occurrences, in full and in the sample, and AG6 the share of the distinct ones that the sample has."""
     full = value_histogram(df, columns)
     part = value_histogram(sample, columns).withColumnRenamed("n", "m")
     both = full.join(part, ["column", "value"], "left")
@@ -70,4 +76,10 @@ def representativeness(df: DataFrame, sample: DataFrame, columns: list[str], mos
         F.count_if(F.col("n") >= least).alias("frequent_full"),
         F.count_if((F.col("n") >= least) & (F.col("m") >= least)).alias("frequent_in_sample"),
         (F.count("*") <= most).alias("is_target"),
-    )
+    ).withColumn("coverage_pct", F.bround(100.0 * F.col("distinct_in_sample") / F.col("distinct_full"), 1))
+
+
+def sample_size(df: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
+    """AG7: rows and groups, in full and in the sample."""
+    count = lambda part, name: part.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"{name}_rows"), F.count("*").alias(f"{name}_groups"))
+    return count(df, "full").crossJoin(F.broadcast(count(sample, "sample")))  # one row each

@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.text import canon, let, multiplicity, relation_class, unordered_pair
+from sondage.functions.text import canon, multiplicity, relation_class, unordered_pair
 from sondage.session import checked_broadcast
 
 
-
-
 def prf(tp: Column, fp: Column, fn: Column) -> Column:
     """SF11: counts with unrounded precision, recall and F1, 0 where undefined."""
     p = F.coalesce(F.try_divide(tp.cast("double"), (tp + fp).cast("double")), F.lit(0.0))
@@ -40,18 +38,51 @@ def first_claims(wanted: Column, offered: Column) -> Column:
     return F.aggregate(wanted, F.array().cast("array<int>"), claim)
 
 
+def first_fits(wanted: Column, offered: Column) -> Column:
+    """For each set of ``wanted`` in order, the place of the first unclaimed name of ``offered`` that it holds, or -1."""
+
+    def claim(state: Column, names: Column) -> Column:
+        places = F.transform(offered, lambda x, i: F.when(F.array_contains(names, x) & ~F.array_contains(state, i), i))
+        return F.concat(state, F.array(F.coalesce(F.get(F.filter(places, lambda x: x.isNotNull()), F.lit(0)), F.lit(-1))))
+
+    return F.aggregate(wanted, F.array().cast("array<int>"), claim)
+
+
 def references(entities: DataFrame) -> DataFrame:
-    """SC2, SC3: (dataset, reference) from rows (dataset, entity_ref, name, aliases, primary_key, attributes(name, semantic_type))."""
-    names = F.array_distinct(F.concat(F.array(canon(F.col("name"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), canon)))
-    attrs = F.transform("attributes", lambda a: F.struct(canon(a["name"]).alias("key"), (a["semantic_type"] == "ForeignKey").alias("is_fk")))
-    entity = F.struct(F.col("entity_ref").alias("no"), names.alias("names"), canon(F.col("name")).alias("key"), F.transform("primary_key", canon).alias("pk"), attrs.alias("attrs"))
+    """SC2, SC3: (dataset, reference) from rows (dataset, entity_ref, name, aliases, primary_key, attributes(name, semantic_type)).
+
+    Two more columns may stand there: ``candidate_keys`` (array<array<string>>), other keys that are accepted, and
+    ``attribute_aliases`` (map<string, array<string>>), other names of an attribute, which count in keys too.
+    """
+    has = set(entities.columns)
+    alternates = F.coalesce("candidate_keys", F.array().cast("array<array<string>>")) if "candidate_keys" in has else F.array().cast("array<array<string>>")
+    no_names = F.array().cast("array<string>")
+
+    def also(name: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col("attribute_aliases"), name), no_names) if "attribute_aliases" in has else no_names
+
+    def accepted(column: Column) -> Column:
+        """The names accepted for a key's column: those of the attribute of the same canonical name."""
+        same = F.filter("attributes", lambda a: canon(a["name"]) == canon(column))
+        return F.array_distinct(F.concat(F.array(canon(column)), F.transform(F.coalesce(also(F.get(same, F.lit(0))["name"]), no_names), canon)))
+
+    names = F.array_distinct(F.concat(F.array(canon(F.col("name"))), F.transform(F.coalesce("aliases", no_names), canon)))
+    attrs = F.transform("attributes", lambda a: F.struct(F.array_distinct(F.concat(F.array(canon(a["name"])), F.transform(also(a["name"]), canon))).alias("names"), F.coalesce(a["semantic_type"] == "ForeignKey", F.lit(False)).alias("is_fk")))
+    keys = F.transform(F.concat(F.array("primary_key"), alternates), lambda key: F.transform(key, accepted))
+    entity = F.struct(F.col("entity_ref").alias("no"), names.alias("names"), canon(F.col("name")).alias("key"), keys.alias("keys"), attrs.alias("attrs"))
     return entities.select("dataset", entity.alias("e")).groupBy("dataset").agg(F.array_sort(F.collect_list("e")).alias("reference"))
 
 
+def key_fits(given: Column, keys: Column) -> Column:
+    """JN9: whether the given columns are one of the keys, column by column and each once."""
+    names = F.transform(given, canon)
+    return (F.size(given) > 0) & F.exists(keys, lambda key: (F.size(key) == F.size(given)) & ~F.array_contains(first_fits(key, names), -1))
+
+
 def _counts(candidate: Column, reference: Column, claims: Column, chosen: bool) -> Column:
     """True positives, false positives and misses over the attributes that are references (``chosen``) or aren't."""
     mine = F.transform(candidate, lambda e: F.transform(F.filter(e["attrs"], lambda a: a["is_fk"] == chosen), lambda a: canon(a["name"])))
-    theirs = F.transform(reference, lambda e: F.transform(F.filter(e["attrs"], lambda a: a["is_fk"] == chosen), lambda a: F.array(a["key"])))
+    theirs = F.transform(reference, lambda e: F.transform(F.filter(e["attrs"], lambda a: a["is_fk"] == chosen), lambda a: a["names"]))
     empty = F.array().cast("array<array<string>>")
     hits = F.zip_with(mine, claims, lambda keys, at: F.size(F.filter(first_claims(keys, F.when(at >= 0, F.get(theirs, at)).otherwise(empty)), lambda x: x >= 0)))
     total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
@@ -67,7 +98,7 @@ def score_models(runs: DataFrame, reference: DataFrame) -> DataFrame:
     step = joined.withColumn("_claims", claims)
     matched = F.size(F.filter("_claims", lambda x: x >= 0))
     entities = prf(matched, F.size(candidate) - matched, F.size(ref) - matched)
-    right = F.zip_with(candidate, F.col("_claims"), lambda e, at: (at >= 0) & (F.size(e["pk"]) > 0) & (F.array_sort(F.transform(e["pk"], canon)) == F.array_sort(F.get(ref, at)["pk"])))
+    right = F.zip_with(candidate, F.col("_claims"), lambda e, at: F.when(at >= 0, key_fits(e["pk"], F.get(ref, at)["keys"])))
     pk_tp = F.size(F.filter(right, lambda x: F.coalesce(x, F.lit(False))))
     pk_given = F.size(F.filter(candidate, lambda e: F.size(e["pk"]) > 0))
     step = step.withColumn("_fk", _counts(candidate, ref, F.col("_claims"), True)).withColumn("_plain", _counts(candidate, ref, F.col("_claims"), False)).withColumn("_pk", pk_tp)
@@ -116,8 +147,18 @@ def score_relationships(runs: DataFrame, reference: DataFrame, links: DataFrame)
     return step.withColumn("relationships", prf(tp, F.size("_ends") - tp, F.size("links") - tp)).withColumn("relaxed_recall", relaxed).drop("_names", "_claims", "_ends", "_picked", "links", "reference")
 
 
-def matched_names(runs: DataFrame, reference: DataFrame) -> DataFrame:
-    """JN6: ``runs`` with ``matches``, the reference number of each candidate entity or null."""
-    joined = runs.join(checked_broadcast(reference), "dataset")
-    claims = first_claims(F.transform("candidate.entities", lambda e: canon(e["name"])), F.transform("reference", lambda e: e["names"]))
-    return joined.withColumn("matches", let(claims, lambda c: F.transform(c, lambda at: F.when(at >= 0, F.get(F.col("reference"), at)["no"])))).drop("reference")
+def evaluate(runs: DataFrame, reference: DataFrame, links: DataFrame) -> DataFrame:
+    """SC8, SC10: ``runs`` with ``metrics``, the four blocks of scores as the records have them, rounded to four digits."""
+    scored = score_relationships(score_models(runs, reference), reference, links)
+
+    def block(part: Column, *more: Column) -> Column:
+        return F.struct(*[part[c].alias(c) for c in ("tp", "fp", "fn")], *[rounded(part[c]).alias(c) for c in ("precision", "recall", "f1")], *more)
+
+    found = F.col("scores")
+    metrics = F.struct(
+        block(found["entities"]).alias("entities"),
+        block(F.col("relationships")).alias("relationships"),
+        block(found["keys"], block(found["pk_only"]).alias("pk_only"), block(found["fk_only"]).alias("fk_only")).alias("keys"),
+        block(found["attributes"]).alias("attributes"),
+    )
+    return scored.withColumn("metrics", metrics).drop("scores", "relationships", "relaxed_recall")

@@ -93,9 +93,8 @@ query("fd_holds_orders", "SELECT o_orderkey, count(DISTINCT (o_custkey, o_orders
 @query("synthesized_manufacturing")
 def synthesized(s: SparkSession, sf: str) -> DataFrame:
     """The profiled model of the manufacturing table under positional headers."""
-    columns = [f"c{i + 1}" for i in range(len(synth.MANUFACTURING))]
-    text = dependencies.synthesize(synth.manufacturing(s).orderBy("row_idx").drop("row_idx").toDF(*columns), columns)
-    model = dsl.parse_models(s.createDataFrame([(text,)], "text string"), "text")
+    made = synth.manufacturing(s).drop("row_idx")
+    model = dsl.parse_models(dependencies.synthesize(made, made.columns, ("none",)), "text")
     return model.select("text", F.size("candidate.entities").alias("entities"), F.size("candidate.relationships").alias("relationships"), "parse.lines_rejected")
 
 
@@ -224,7 +223,7 @@ TARGETS = ["o_orderstatus", "o_orderpriority"]
 def coverage_sample_report(s: SparkSession, sf: str) -> DataFrame:
     orders = table(s, sf, "orders")
     chosen = sampling.greedy_cover(orders, ["o_custkey"], sampling.coverage_targets(orders, TARGETS))
-    return sampling.representativeness(orders, sampling.sample_rows(orders, ["o_custkey"], chosen), TARGETS)
+    return sampling.representativeness(orders, sampling.sample_rows(orders, ["o_custkey"], chosen), TARGETS).drop("coverage_pct")
 
 
 @query("coverage_sample_rows")
@@ -372,7 +371,7 @@ query("dictionary_blocks", "SELECT dataset, entity_ref, array_to_string(list_tra
     lambda s, sf: table(s, sf, "ref_entities").select("dataset", "entity_ref", design.dictionary_block(F.transform("attributes", lambda a: F.struct(a["name"].alias("k"), a["semantic_type"].alias("v"))), "cryptic").alias("block"))
 )
 query("rendered_prompts", "SELECT prompt_file, concat('Task. ', 'DOMAIN', chr(10), dataset, chr(10), chr(10), 'OUTPUT FORMAT', chr(10), cond_id) AS prompt FROM prompts")(
-    lambda s, sf: table(s, sf, "prompts").select("prompt_file", design.render(F.lit("Task. OUTPUT FORMAT\n{{DATA_BLOCK}}"), F.concat(F.lit("DOMAIN\n"), F.col("dataset")), F.col("cond_id")).alias("prompt"))
+    lambda s, sf: table(s, sf, "prompts").select("prompt_file", design.render(F.lit("Task. OUTPUT FORMAT\n{{DATA_BLOCK}}"), F.concat(F.lit("DOMAIN\n"), F.col("dataset"), F.lit("\n\n")), F.col("cond_id")).alias("prompt"))
 )
 query("mock_runs", "SELECT prompt_file, 'mock' AS finish_reason, length(prompt_text) // 4 AS input_tokens FROM prompts")(lambda s, sf: design.mock_responses(table(s, sf, "prompts"), "prompt_text").select("prompt_file", "finish_reason", "input_tokens"))
 query("prompt_digests", "SELECT prompt_file, CASE WHEN prompt_sha256 = sha256(prompt_text) THEN 'OK' ELSE 'MISMATCH' END AS status FROM prompts")(

@@ -73,9 +73,30 @@ def _own_folder() -> str:
     return f"file://{folder}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """This session's own folder in the shared one; it is deleted when the driver ends, as its tables are needed no longer."""
+    own = f"{shared_folder(spark)}/sondage-{spark.sparkContext.applicationId}"
+    if own not in _SCRATCH:
+        _SCRATCH.add(own)
+        atexit.register(_delete, spark, own)
+    return own
+
+
+_SCRATCH: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """What is left of a session; nothing if its JVM has ended before."""
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001
+        return
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read again: its lineage is cut, its size known, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sondage-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
