@@ -130,31 +130,33 @@ def _judge(contract: Contract) -> Callable[[str | None], tuple]:
 
     def judge(text: str | None) -> tuple:
         if text is None:
-            return "columns", 0, 1, 1, 0, 0, None
+            return "columns", 0, 1, 1, 0, 0, []
         reader = Reader(text, anchor).file()
         faults = [*reader.faults]
-        good = 0
+        good = []
         for record in reader.records:
             found = values(record)
-            good += found is None
             if found:
                 faults.append(found)
+            else:
+                good.append(record.values)
         if not faults:
-            return None, None, None, None, None, 1, reader.records[0].values
+            return None, None, None, None, None, 1, good
         first = min(faults, key=lambda f: (rank[f.reason], f.offset))
         before = text[: first.offset]
         breaks = [m.end() for m in LINE_END.finditer(before)]
-        return first.reason, first.offset, len(breaks) + 1, first.offset - (breaks[-1] if breaks else 0) + 1, first.place, good, None
+        return first.reason, first.offset, len(breaks) + 1, first.offset - (breaks[-1] if breaks else 0) + 1, first.place, len(good), good
 
     return judge
 
 
-def parse_records(df: DataFrame, key: str, text: str, contract: Contract) -> DataFrame:
+def parse_records(df: DataFrame, key: str, text: str, contract: Contract, recovered: bool = False) -> DataFrame:
     """One row a row of ``df``: ``key``, then either the contract's fields or the first fault that applies.
 
     reason: null for a valid row, else quoting, columns or value (the first in this order that occurs in the row).
     at, line, col, place: where the fault is (character from 0, line and column from 1, field from 0).
-    recovered: valid records found in the text, counting those after a broken one.
+    recovered: valid records found in the text, counting those after a broken one. Where ``recovered`` is asked for, these come out
+    too, a row each without a reason, and ``part`` numbers them from 1; it is 0 for the row itself.
     """
     names = [name for name, _ in contract.fields]
     judge = _judge(contract)
@@ -163,12 +165,15 @@ def parse_records(df: DataFrame, key: str, text: str, contract: Contract) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [judge(value) for value in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([x[0] for x in out], pa.string())]
-            columns += [pa.array([x[i] for x in out], pa.int32()) for i in range(1, 6)]
-            columns += [pa.array([x[6] and x[6][i] for x in out], pa.string()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, [key, "reason", "at", "line", "col", "place", "recovered", *names])
-
-    schema = f"`{key}` {kind.simpleString()}, reason string, at int, line int, col int, place int, recovered int, " + ", ".join(f"`{n}` string" for n in names)
+            rows = [(i, 0, x[:6], x[6][0] if x[0] is None else None) for i, x in enumerate(out)]
+            if recovered:
+                rows += [(i, part, (None, None, None, None, None, 1), own) for i, x in enumerate(out) if x[0] is not None for part, own in enumerate(x[6], 1)]
+            columns = [batch.column(0).take(pa.array([i for i, *_ in rows], pa.int64())), pa.array([x[0] for *_, x, _ in rows], pa.string())]
+            columns += [pa.array([x[i] for *_, x, _ in rows], pa.int32()) for i in range(1, 6)] + [pa.array([part for _, part, *_ in rows], pa.int32())]
+            columns += [pa.array([own and own[i] for *_, own in rows], pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "reason", "at", "line", "col", "place", "recovered", "part", *names])
+
+    schema = f"`{key}` {kind.simpleString()}, reason string, at int, line int, col int, place int, recovered int, part int, " + ", ".join(f"`{n}` string" for n in names)
     return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
 
 
@@ -203,6 +208,7 @@ def typed_export(rows: DataFrame) -> DataFrame:
     """The valid rows of parse_records under export_contract, with types."""
     return rows.filter("reason is null").select(
         "row_id",
+        "part",
         "run_id",
         "provider",
         "dataset",

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from sondage.operators.orphans import dangling_ends, orphan_references, record_orphans
+from sondage.operators.orphans import dangling_ends, orphan_counts, orphan_references, orphans_per_period, record_orphans
 
 T0 = datetime(2025, 1, 1)
 
@@ -31,6 +31,12 @@ def test_orphans_match_brute_force_with_a_hot_key(spark):
     p = spark.createDataFrame(parents, "key string, since timestamp, deleted boolean")
     for heavy in (50, 10**9):
         assert {(x.rec_id, x.state) for x in orphan_references(r, p, heavy).collect()} == brute(refs, parents)
+        counts = {(x.period, x.state): x.orphans for x in orphan_counts(r, p, heavy).collect()}
+        wanted = {}
+        for rid, state in brute(refs, parents):
+            at = refs[rid][2]
+            wanted[at and at.strftime("%Y-%m"), state] = wanted.get((at and at.strftime("%Y-%m"), state), 0) + 1
+        assert counts == wanted
     assert orphan_references(r.limit(0), p).count() == 0
     assert {x.state for x in orphan_references(r, p.limit(0)).collect()} == {"missing"}
 
@@ -53,3 +59,5 @@ def test_whole_tables(spark, sf):
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
     found = record_orphans(t("parsed_records"), t("metrics_records"), t("raw_records"))
     assert found.count() == found.dropDuplicates(["tbl", "rec_id", "ref"]).count() > 0
+    periods = orphans_per_period(t("parsed_records"), t("metrics_records"), t("raw_records"))
+    assert periods.agg(F.sum("orphans")).first()[0] == found.count()

@@ -47,6 +47,12 @@ def test_recovers_at_the_next_record(spark):
     assert (row.reason, row.recovered, row.line, row.place) == ("quoting", 1, 1, 9)
 
 
+def test_recovered_records_are_returned(spark):
+    df = spark.createDataFrame([(1, GOOD.replace(',"a', ',x"a') + "\n" + GOOD + "\n" + GOOD), (2, GOOD), (3, None)], "row_id long, row_text string")
+    rows = typed_export(parse_records(df, "row_id", "row_text", export_contract(DATASETS), True)).collect()
+    assert sorted((r.row_id, r.part, r.replicate) for r in rows) == [(1, 1, 3), (1, 2, 3), (2, 0, 3)]
+
+
 def test_typed_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, GOOD)], "row_id long, row_text string")
     row = typed_export(parse_records(df, "row_id", "row_text", export_contract(DATASETS))).first()
