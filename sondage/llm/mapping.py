@@ -69,7 +69,7 @@ WITH named AS (
 )
 SELECT dataset, entity_ref, text, min(kind) AS kind,
   CASE WHEN min(kind) > 1 THEN 0 WHEN length(text) < 9 THEN 2 ELSE 4 END AS k
-FROM counted WHERE length(text) > 1 GROUP BY dataset, entity_ref, text
+FROM counted WHERE length(text) > 0 GROUP BY dataset, entity_ref, text
 """
 
 EXACT = """

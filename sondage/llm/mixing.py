@@ -27,8 +27,8 @@ from sondage.session import checkpoint
 
 #: Newton steps at most and the relative error of a source's tokens at which they end.
 STEPS, TOLERANCE = 60, 1e-9
-#: Documents of a source are rounded in ranges of token counts, split by digest into so many parts.
-PARTS = 32
+#: Documents of a source are rounded in ranges of token counts, split by digest into so many parts at least, and more parts where one would have so many documents.
+PARTS, PART_ROWS = 32, 50_000
 
 
 def newton_rates(histogram: DataFrame, wanted: dict[str, float], caps: dict[str, float], means: dict[str, float]) -> dict[str, float]:
@@ -88,21 +88,25 @@ def plan_mix(histogram: DataFrame, targets: DataFrame, tokens: float | None = No
 PLAN = "source string, target_share double, max_repeats bigint, supply double, wanted double, mean double, rate double, active boolean"
 
 
-def copies(docs: DataFrame, targets: DataFrame, tokens: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, n_tokens, copies) of the documents that are used, and the plan."""
+def copies(docs: DataFrame, targets: DataFrame, tokens: float | None = None, portion: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, n_tokens, copies) of the documents that are used, and the plan; ``portion`` sets ``tokens`` as a part of all tokens of the target sources."""
     spark = docs.sparkSession
     sized = checkpoint(token_counts(docs.where("source is not null"), ["doc_id", "source"]).where("n_tokens > 0"))
     histogram = checkpoint(sized.groupBy("source", F.col("n_tokens").alias("tokens")).agg(F.count("*").alias("documents")))
+    if portion is not None:
+        own = histogram.join(F.broadcast(targets.select("source").distinct()), "source")  # a row a target source
+        tokens = portion * float(own.agg(F.sum(F.col("tokens") * F.col("documents"))).first()[0] or 0)
     plan = spark.createDataFrame([tuple(row.values()) for row in plan_mix(histogram, targets, tokens)], PLAN)
+    parts = max(PARTS, math.ceil((histogram.agg(F.sum("documents")).first()[0] or 0) / PART_ROWS))
     rated = sized.join(F.broadcast(plan.where("active")), "source")  # a row a source
     rate = F.least(F.col("max_repeats").cast("double"), F.exp(F.least(F.col("rate") * F.col("n_tokens") / F.col("mean"), F.lit(60.0))))
-    rated = rated.select("doc_id", "source", "n_tokens", rate.alias("w"), F.floor(F.log2("n_tokens") * 4).cast("int").alias("band"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+    rated = rated.select("doc_id", "source", "n_tokens", rate.alias("w"), F.floor(F.log2("n_tokens") * 4).cast("int").alias("band"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
     # Rates are summed along (band, part, tokens, doc_id): first over the groups, of which there are few, then inside each.
     group = ["source", "band", "part"]
     before = W.partitionBy("source").orderBy("band", "part").rowsBetween(W.unboundedPreceding, -1)
     starts = rated.groupBy(*group).agg(F.sum("w").alias("sum")).select(*group, F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("start"))
     inside = W.partitionBy(*group).orderBy("n_tokens", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    ends = rated.withColumn("sum", F.sum("w").over(inside)).join(F.broadcast(starts), group)  # sources x bands x parts: thousands
+    ends = rated.withColumn("sum", F.sum("w").over(inside)).join(F.broadcast(starts), group)  # sources x bands x parts: a row for 50,000 documents at least, beyond the first thousands
     end = F.round(F.col("start") + F.col("sum"), 6)
     begin = F.round(F.col("start") + F.col("sum") - F.col("w"), 6)
     used = ends.select("doc_id", "source", "n_tokens", (F.floor(end + 0.5) - F.floor(begin + 0.5)).alias("copies"))

@@ -39,6 +39,11 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(*mixing.copies(table(spark, sf, "documents"), table(spark, sf, "mix_targets")))
 
 
+def p7_full_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of a mix as large as all documents of the target sources: small sources are used up to their cap and fall short."""
+    return mixing.report(*mixing.copies(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), portion=1.0))
+
+
 def p7_copies(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.copies(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
 
@@ -60,5 +65,5 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.abuse_rates(_scored(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_shares": p7_shares, "p7_copies": p7_copies, "p8_found": p8_found, "p8_sentences": p8_sentences, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_shares": p7_shares, "p7_full_shares": p7_full_shares, "p7_copies": p7_copies, "p8_found": p8_found, "p8_sentences": p8_sentences, "p8_rates": p8_rates}
 SQL: dict[str, str] = {}

@@ -176,6 +176,8 @@ def test_mix_reaches_its_shares(spark):
     assert rows["gone"].short and rows["gone"].tokens == 0 and used.where("source = 'other'").count() == 0
     short = {r.source: r for r in mixing.report(*mixing.copies(df, targets, tokens=10**7)).collect()}
     assert short["hot"].short and all(r.tokens == r.available_tokens for r in short.values())
+    full = {r.source: r for r in mixing.report(*mixing.copies(df, targets, portion=1.0)).collect()}
+    assert full["hot"].tokens == full["hot"].available_tokens and all(r.most_copies <= r.max_repeats for r in full.values())
     assert mixing.copies(df.limit(0), targets)[0].count() == 0
 
 
