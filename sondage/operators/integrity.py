@@ -25,10 +25,19 @@ def dangling(child: DataFrame, parent: DataFrame, keys: dict[str, str]) -> DataF
     return left.join(right, list(keys), "left_anti")
 
 
-def inclusion(name: str, child: DataFrame, parent: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """One finding: the check's name, dangling tuples, and OK or FAIL."""
-    lost = dangling(child, parent, keys).agg(F.count("*").alias("dangling"))
-    return lost.select(F.lit(name).alias("check"), "dangling", F.when(F.col("dangling") == 0, "OK").otherwise("FAIL").alias("status"))
+def inclusions(checks: list[tuple[str, DataFrame, DataFrame, dict[str, str]]]) -> DataFrame:
+    """JN5, SNK10: a finding a check (name, child, parent, keys): dangling tuples, and OK or FAIL. All checks share one shuffle of distinct tuples, children and parents side by side."""
+
+    def side(i: int, df: DataFrame, columns: list[str], is_child: bool) -> DataFrame:
+        known = df.dropna(subset=columns).select(F.lit(i).alias("i"), F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"k{n}") for n, c in enumerate(columns)])).alias("tuple"))
+        return known.withColumn("child", F.lit(is_child)).withColumn("parent", F.lit(not is_child))
+
+    sides = [side(i, df, columns, is_child) for i, (_, child, parent, keys) in enumerate(checks) for df, columns, is_child in ((child, list(keys), True), (parent, list(keys.values()), False))]
+    tuples = stack(sides).groupBy("i", "tuple").agg(F.bool_or("child").alias("child"), F.bool_or("parent").alias("parent"))
+    lost = tuples.groupBy("i").agg(F.count_if(F.col("child") & ~F.col("parent")).alias("n"))
+    names = lost.sparkSession.createDataFrame([(i, name) for i, (name, *_) in enumerate(checks)], "i int, check string")
+    found = names.join(lost, "i", "left").select("check", F.coalesce("n", F.lit(0)).alias("dangling"))
+    return found.withColumn("status", F.when(F.col("dangling") == 0, "OK").otherwise("FAIL"))
 
 
 def binding_coverage(binding: DataFrame, attributes: DataFrame, columns: DataFrame) -> DataFrame:

@@ -15,11 +15,16 @@ def coverage_targets(df: DataFrame, columns: list[str], most: int = 50) -> list[
     return [c for c in columns if c in found]
 
 
+#: Groups of the largest gains that one round reads.
+AHEAD = 200
+
+
 def greedy_cover(df: DataFrame, keys: list[str], targets: list[str], least: int = 2) -> list[tuple]:
-    """PF19: the groups chosen one by one, each of the largest gain, ties to the smallest key as text.
+    """PF19, SO1: the groups chosen one by one, each of the largest gain, ties to the smallest key as text.
 
-    A step is one aggregate over the contributions of groups to values still missing; what is missing is at most
-    targets x their distinct values (bounded by ``coverage_targets``), and a step covers some of it.
+    A round reads the contributions of the ``AHEAD`` groups of largest gain, and chooses among them as long as the best has more
+    than the last of them had: gains only fall, so no other group can have as much. What is missing is at most targets x their
+    distinct values (bounded by ``coverage_targets``), and a round covers some of it.
     """
     spark = df.sparkSession
     text = df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], *[c for c in targets if c not in keys])
@@ -28,27 +33,36 @@ def greedy_cover(df: DataFrame, keys: list[str], targets: list[str], least: int
     chosen: list[tuple] = []
     while missing:
         left = spark.createDataFrame([(c, v, n) for (c, v), n in missing.items()], "column string, value string, missing bigint")
-        gains = given.join(F.broadcast(left), ["column", "value"]).groupBy(*keys).agg(F.sum(F.least("n", "missing")).alias("gain"))
-        best = gains.orderBy(F.desc("gain"), *keys).limit(1).collect()
-        if not best:
+        useful = given.join(F.broadcast(left), ["column", "value"])
+        if chosen:
+            useful = useful.join(F.broadcast(spark.createDataFrame(chosen, ", ".join(f"`{k}` string" for k in keys))), keys, "left_anti")
+        best = useful.groupBy(*keys).agg(F.sum(F.least("n", "missing")).alias("gain")).orderBy(F.desc("gain"), *keys).limit(AHEAD)
+        offers: dict[tuple, dict] = {}
+        first: dict[tuple, int] = {}
+        for r in useful.join(F.broadcast(best), keys).select(*keys, "column", "value", "n", "gain").collect():
+            key = tuple(r[k] for k in keys)
+            offers.setdefault(key, {})[r["column"], r["value"]] = r["n"]
+            first[key] = r["gain"]
+        if not offers:
+            break
+        bound = min(first.values()) if len(offers) == AHEAD else 0
+        before = len(chosen)
+        while offers and missing:
+            gain = {key: sum(min(n, missing[v]) for v, n in own.items() if v in missing) for key, own in offers.items()}
+            key = min(offers, key=lambda k: (-gain[k], k))
+            if gain[key] <= 0 or gain[key] <= bound and len(chosen) > before:
+                break
+            chosen.append(key)
+            for v, n in offers.pop(key).items():
+                if v in missing:
+                    missing[v] -= n
+                    if missing[v] <= 0:
+                        del missing[v]
+        if len(chosen) == before:
             break
-        key = tuple(best[0][k] for k in keys)
-        chosen.append(key)
-        for column, value, n in given.where(_is(keys, key)).select("column", "value", "n").collect():
-            if (column, value) in missing:
-                missing[column, value] -= n
-                if missing[column, value] <= 0:
-                    del missing[column, value]
     return chosen
 
 
-def _is(keys: list[str], values: tuple):
-    test = F.lit(True)
-    for k, v in zip(keys, values, strict=True):
-        test = test & (F.col(k) == F.lit(v))
-    return test
-
-
 def group_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """AG27, WN9: (keys..., rows, first_row): the groups with the place of their first row, by which they keep the order of the file."""
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.min(order).alias("first_row"))

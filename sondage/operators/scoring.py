@@ -74,43 +74,50 @@ def references(entities: DataFrame) -> DataFrame:
 
 
 def key_fits(given: Column, keys: Column) -> Column:
-    """JN9: whether the given columns are one of the keys, column by column and each once."""
-    names = F.transform(given, canon)
-    return (F.size(given) > 0) & F.exists(keys, lambda key: (F.size(key) == F.size(given)) & ~F.array_contains(first_fits(key, names), -1))
+    """JN9: whether the given columns (canonical names) are one of the keys, column by column and each once."""
+    return (F.size(given) > 0) & F.exists(keys, lambda key: (F.size(key) == F.size(given)) & ~F.array_contains(first_fits(key, given), -1))
 
 
-def _counts(candidate: Column, reference: Column, claims: Column, chosen: bool) -> Column:
+def _canonical(runs: DataFrame) -> DataFrame:
+    """``runs`` with ``_own``: each candidate entity's canonical names, of itself, its key and its attributes, computed once."""
+    attrs = lambda e: F.transform(e["attrs"], lambda a: F.struct(canon(a["name"]).alias("key"), a["is_fk"].alias("is_fk")))
+    return runs.withColumn("_own", F.transform("candidate.entities", lambda e: F.struct(canon(e["name"]).alias("key"), F.transform(e["pk"], canon).alias("pk"), attrs(e).alias("attrs"))))
+
+
+def _counts(reference: Column, claims: Column, chosen: bool) -> Column:
     """True positives, false positives and misses over the attributes that are references (``chosen``) or aren't."""
-    mine = F.transform(candidate, lambda e: F.transform(F.filter(e["attrs"], lambda a: a["is_fk"] == chosen), lambda a: canon(a["name"])))
+    mine = F.transform("_own", lambda e: F.transform(F.filter(e["attrs"], lambda a: a["is_fk"] == chosen), lambda a: a["key"]))
     theirs = F.transform(reference, lambda e: F.transform(F.filter(e["attrs"], lambda a: a["is_fk"] == chosen), lambda a: a["names"]))
     empty = F.array().cast("array<array<string>>")
-    hits = F.zip_with(mine, claims, lambda keys, at: F.size(F.filter(first_claims(keys, F.when(at >= 0, F.get(theirs, at)).otherwise(empty)), lambda x: x >= 0)))
+    # What an entity can match is looked up before the fold over its attributes, in which it would be looked up for each.
+    pairs = F.zip_with(mine, claims, lambda keys, at: F.struct(keys.alias("keys"), F.when(at >= 0, F.get(theirs, at)).otherwise(empty).alias("offered")))
+    hits = F.transform(pairs, lambda p: F.size(F.filter(first_claims(p["keys"], p["offered"]), lambda x: x >= 0)))
     total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-    tp = total(hits)
-    return F.struct(tp.alias("tp"), (total(F.transform(mine, F.size)) - tp).alias("fp"), (total(F.transform(theirs, F.size)) - tp).alias("fn"))
+    return F.struct(total(hits).alias("tp"), total(F.transform(mine, F.size)).alias("given"), total(F.transform(theirs, F.size)).alias("wanted"))
 
 
 def score_models(runs: DataFrame, reference: DataFrame) -> DataFrame:
     """SC4, SC6-SC8: ``runs`` (dataset, candidate, ...) with the scores of entities, keys and attributes as ``scores``."""
-    joined = runs.join(checked_broadcast(reference), "dataset")
-    candidate, ref = F.col("candidate.entities"), F.col("reference")
-    claims = first_claims(F.transform(candidate, lambda e: canon(e["name"])), F.transform(ref, lambda e: e["names"]))
-    step = joined.withColumn("_claims", claims)
+    joined = _canonical(runs.join(checked_broadcast(reference), "dataset"))
+    ref = F.col("reference")
+    step = joined.withColumn("_claims", first_claims(F.transform("_own", lambda e: e["key"]), F.transform(ref, lambda e: e["names"])))
     matched = F.size(F.filter("_claims", lambda x: x >= 0))
-    entities = prf(matched, F.size(candidate) - matched, F.size(ref) - matched)
-    right = F.zip_with(candidate, F.col("_claims"), lambda e, at: F.when(at >= 0, key_fits(e["pk"], F.get(ref, at)["keys"])))
-    pk_tp = F.size(F.filter(right, lambda x: F.coalesce(x, F.lit(False))))
-    pk_given = F.size(F.filter(candidate, lambda e: F.size(e["pk"]) > 0))
-    step = step.withColumn("_fk", _counts(candidate, ref, F.col("_claims"), True)).withColumn("_plain", _counts(candidate, ref, F.col("_claims"), False)).withColumn("_pk", pk_tp)
+    entities = prf(matched, F.size("_own") - matched, F.size(ref) - matched)
+    right = F.zip_with("_own", F.col("_claims"), lambda e, at: F.when(at >= 0, key_fits(e["pk"], F.get(ref, at)["keys"])))
+    pk_given = F.size(F.filter("_own", lambda e: F.size(e["pk"]) > 0))
+    step = step.withColumn("_fk", _counts(ref, F.col("_claims"), True)).withColumn("_plain", _counts(ref, F.col("_claims"), False))
+    step = step.withColumn("_pk", F.size(F.filter(right, lambda x: F.coalesce(x, F.lit(False)))))
     fk, plain, pk = F.col("_fk"), F.col("_plain"), F.col("_pk")
+    over = lambda c: c["given"] - c["tp"]
+    under = lambda c: c["wanted"] - c["tp"]
     scores = F.struct(
         entities.alias("entities"),
-        prf(pk + fk["tp"], pk_given - pk + fk["fp"], F.size(ref) - pk + fk["fn"]).alias("keys"),
+        prf(pk + fk["tp"], pk_given - pk + over(fk), F.size(ref) - pk + under(fk)).alias("keys"),
         prf(pk, pk_given - pk, F.size(ref) - pk).alias("pk_only"),
-        prf(fk["tp"], fk["fp"], fk["fn"]).alias("fk_only"),
-        prf(plain["tp"], plain["fp"], plain["fn"]).alias("attributes"),
+        prf(fk["tp"], over(fk), under(fk)).alias("fk_only"),
+        prf(plain["tp"], over(plain), under(plain)).alias("attributes"),
     )
-    return step.withColumn("scores", scores).drop("_claims", "_fk", "_plain", "_pk", "reference")
+    return step.withColumn("scores", scores).drop("_own", "_claims", "_fk", "_plain", "_pk", "reference")
 
 
 def score_relationships(runs: DataFrame, reference: DataFrame, links: DataFrame) -> DataFrame:
@@ -125,10 +132,12 @@ def score_relationships(runs: DataFrame, reference: DataFrame, links: DataFrame)
 
     def meant(end: Column) -> Column:
         """The reference name of a relationship's end; null if its entity isn't matched or wasn't declared."""
-        at = F.get(F.col("_claims"), F.array_position(F.col("_names"), canon(end)).cast("int") - 1)
+        at = F.get(F.col("_claims"), F.array_position(F.col("_names"), end).cast("int") - 1)
         return F.when(at >= 0, F.get(ref, at)["key"])
 
-    ends = F.transform("candidate.relationships", lambda r: F.struct(meant(r["to"]).alias("parent"), meant(r["frm"]).alias("child"), relation_class(multiplicity(r["ct"]), multiplicity(r["cf"])).alias("klass"), canon(r["fk"]).alias("fk")))
+    # The canonical names first, a column each: in one expression they would be computed wherever they are named.
+    step = step.withColumn("_rels", F.transform("candidate.relationships", lambda r: F.struct(canon(r["to"]).alias("to"), canon(r["frm"]).alias("frm"), r["cf"].alias("cf"), r["ct"].alias("ct"), r["fk"].alias("fk"))))
+    ends = F.transform("_rels", lambda r: F.struct(meant(r["to"]).alias("parent"), meant(r["frm"]).alias("child"), relation_class(multiplicity(r["ct"]), multiplicity(r["cf"])).alias("klass"), canon(r["fk"]).alias("fk")))
     step = step.withColumn("_ends", ends)
 
     def claim(state: Column, r: Column) -> Column:
@@ -144,7 +153,7 @@ def score_relationships(runs: DataFrame, reference: DataFrame, links: DataFrame)
     wanted = F.array_distinct(F.transform("links", lambda g: unordered_pair(g["parent"], g["child"])))
     got = F.array_distinct(F.transform(F.filter("_ends", lambda r: r["parent"].isNotNull() & r["child"].isNotNull()), lambda r: unordered_pair(r["parent"], r["child"])))
     relaxed = F.coalesce(F.try_divide(F.size(F.array_intersect(wanted, got)).cast("double"), F.size(wanted).cast("double")), F.lit(0.0))
-    return step.withColumn("relationships", prf(tp, F.size("_ends") - tp, F.size("links") - tp)).withColumn("relaxed_recall", relaxed).drop("_names", "_claims", "_ends", "_picked", "links", "reference")
+    return step.withColumn("relationships", prf(tp, F.size("_ends") - tp, F.size("links") - tp)).withColumn("relaxed_recall", relaxed).drop("_names", "_claims", "_rels", "_ends", "_picked", "links", "reference")
 
 
 def evaluate(runs: DataFrame, reference: DataFrame, links: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ INCLUSIONS = (
     ),
 )
 def inclusion_checks(s: SparkSession, sf: str) -> DataFrame:
-    return integrity.stack([integrity.inclusion(f"{c}.{k} in {p}.{q}", table(s, sf, c), table(s, sf, p), {k: q}) for c, p, k, q in INCLUSIONS])
+    return integrity.inclusions([(f"{c}.{k} in {p}.{q}", table(s, sf, c), table(s, sf, p), {k: q}) for c, p, k, q in INCLUSIONS])
 
 
 query("dangling_customers", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda s, sf: integrity.dangling(table(s, sf, "customer"), table(s, sf, "orders"), {"c_custkey": "o_custkey"}))

@@ -89,3 +89,26 @@ def test_blocks_stand_before_the_format(spark):
     text = design.render(F.lit("A\n\nOUTPUT FORMAT\n{{DATA_BLOCK}}"), design.knowledge_blocks(F.lit("x"), F.lit("- c: y"), F.array(F.lit("r")), (F.lit(True), F.lit(False), F.lit(True))), design.data_block(F.array(F.lit("id")), F.array(F.lit("1")), "none"))
     found = spark.range(1).select(text.alias("t")).first().t
     assert found.startswith("A\n\nDOMAIN CONTEXT") and "- r\n\nOUTPUT FORMAT\nThe following" in found and found.endswith("c1\n1") and "DICTIONARY" not in found
+
+
+@pytest.mark.parametrize("ahead", [1, 3, 200])
+def test_cover_equals_the_plain_greedy_one(spark, monkeypatch, ahead):
+    """Step by step: each time the open group of the largest gain, ties to the least key, no group twice."""
+    monkeypatch.setattr(sampling, "AHEAD", ahead)
+    rows = [(g, f"v{(g * 7 + i * i) % 9}", f"w{(g * i) % 5}") for g in range(25) for i in range(g % 5 + 1)]
+    need: dict = {}
+    for _, a, b in rows:
+        for v in (("a", a), ("b", b)):
+            need[v] = need.get(v, 0) + 1
+    need = {v: min(2, n) for v, n in need.items()}
+    groups = {str(g): [v for h, a, b in rows if h == g for v in (("a", a), ("b", b))] for g in range(25)}
+    wanted = []
+    while any(n > 0 for n in need.values()):
+        gain = {g: sum(min(own.count(v), max(0, need[v])) for v in set(own)) for g, own in groups.items()}
+        best = min(groups, key=lambda g: (-gain[g], g))
+        if gain[best] <= 0:
+            break
+        wanted.append((best,))
+        for v in groups.pop(best):
+            need[v] -= 1
+    assert sampling.greedy_cover(spark.createDataFrame(rows, "g int, a string, b string"), ["g"], ["a", "b"]) == wanted
