@@ -52,6 +52,7 @@ WORD = re.compile(r"\w+(?:['’]\w+)?")
 TOKEN = re.compile(r"\w+|->|\S")
 FENCE = re.compile(r"^\s*(?:```|~~~)")
 QUOTED = re.compile(r'"[^"\n]{1,40}"|“[^”\n]{1,40}”|«[^»\n]{1,40}»')
+ARROW = re.compile("→|⇒|⟶|➔")
 MARK = re.compile(r"(?:\[\s*(?:cut|truncated|\.\.\.|…)\s*\]|\((?:cut|truncated)\)|<(?:cut|truncated)>|…|\.\.\.)$")
 ATTR = re.compile(r"(?i)^attr\s+[^:]*[^:\s]\s*:\s*[^:\s][^:]*(?:\s*:\s*(?:pk|fk))*$")
 CARDINALITY = r"(?:[01]\.\.(?:1|n|m|\*)|1|n|m|\*|many|one)"
@@ -67,10 +68,10 @@ def coded(word: str) -> bool:
 
 
 class Lines(dict):
-    """Lines by their text, as places in ``words``, ``masked`` and ``facts``: what a line adds, whatever text it stands in."""
+    """Lines by their text, as places in ``grams`` (hashes of four words in a row, or of all), ``masked`` and ``facts``: what a line adds, whatever text it stands in."""
 
     def __init__(self) -> None:
-        self.words: list[list[str]] = []
+        self.grams: list[tuple[int, ...]] = []
         self.masked: list[str] = []
         self.facts: list[tuple[float, ...]] = []
 
@@ -83,11 +84,12 @@ class Lines(dict):
             prose = [w for w in WORD.findall(unicodedata.normalize("NFC", QUOTED.sub(" ", text)).lower().replace("’", "'")) if not coded(w)]
             said = len(prose)
             hits = sum((HITS[w] for w in prose if w in HITS), NO_HITS)
-        self.words.append(words)
+        size = min(4, len(words))
+        self.grams.append(tuple(map(hash, zip(*(words[i:] for i in range(size)), strict=False))) if len(words) > 1 else ())
         self.masked.append(" ".join(["#" if c else w for w, c in zip(words, codes, strict=True)]))
         self.facts.append((len(words), sum(map(len, words)), bool(model and "<" not in text), sum(map(coded, words)), bool(FENCE.match(text)), said, *hits))
-        self[text] = len(self.words) - 1
-        return len(self.words) - 1
+        self[text] = len(self.facts) - 1
+        return len(self.facts) - 1
 
 
 @lru_cache(1 << 16)
@@ -114,13 +116,16 @@ class Prompt(dict):
 
     def __missing__(self, at: int) -> int:
         """The words of a line that stand in the prompt, four in a row or the whole line."""
-        words = self.read.words[at]
-        size = min(4, len(words))
-        inside = bytearray(len(words))
-        for i in range(len(words) - size + 1):
-            if hash(tuple(words[i : i + size])) in self.grams:
-                inside[i : i + size] = b"\1" * size
-        self[at] = sum(inside) if len(words) > 1 else 0
+        grams = self.read.grams[at]
+        if self.grams.isdisjoint(grams):
+            self[at] = 0
+        else:
+            words = int(self.read.facts[at][0])
+            size, inside = min(4, words), bytearray(words)
+            for i, gram in enumerate(grams):
+                if gram in self.grams:
+                    inside[i : i + size] = b"\1" * size
+            self[at] = sum(inside)
         return self[at]
 
     def goes_on(self, last: str) -> bool:
@@ -150,7 +155,7 @@ class Reader:
         self.reset()
 
     def reset(self) -> None:
-        self.lines, self.prompts = Lines(), {}
+        self.lines, self.prompts, self.facts = Lines(), {}, np.empty((0, 6 + len(LANGUAGES)))
 
     def prompt(self, text: str | None) -> Prompt:
         if text not in self.prompts:
@@ -171,15 +176,17 @@ class Reader:
             own.append((sum(map(asked.__getitem__, at)), asked.asked, *facts))
         ids, sizes, own = np.array(ids, np.int64), np.array(sizes, np.int64), np.array(own, np.float64).reshape(len(pairs), -1)
         row = np.repeat(np.arange(len(pairs)), sizes)
-        facts = np.array(self.lines.facts, np.float64).reshape(len(self.lines.words), -1)[ids] if len(ids) else np.zeros((0, 6 + len(LANGUAGES)))
+        if len(self.facts) < len(self.lines.facts):
+            self.facts = np.concatenate([self.facts, self.lines.facts[len(self.facts) :]])
+        facts = self.facts[ids]
         total = np.stack([np.bincount(row, facts[:, k], len(pairs)) for k in range(6 + len(LANGUAGES))], 1)
         return ids, row, np.array(ends, np.int32).reshape(len(pairs), 4), self._dense(total, own)
 
     @staticmethod
     def _end(body: str, line: str, asked: Prompt) -> tuple[tuple[int, ...], tuple[float, ...]]:
         """Hashed final trigrams, by word and by class, and what the last line looks like."""
-        marked = MARK.search(body)
-        last = PLAIN.sub("", re.sub("→|⇒|⟶|➔", "->", MARK.sub("", line).strip())).strip()
+        marked = MARK.search(body) if body.endswith(("]", ")", ">", "…", "...")) else None
+        last = PLAIN.sub("", ARROW.sub("->", (MARK.sub("", line) if marked else line).strip())).strip()
         keyword = KEYWORD.match(last)
         tokens = ["^", "^", *TOKEN.findall(last.lower())] if last else ["^", "^", "^"]
         kinds = ["#" if coded(t) else t if t in WORDLESS or not t[0].isalnum() else "w" for t in tokens[-3:]]
