@@ -1,4 +1,4 @@
-"""Aggregates under a factorial design (AG8-AG16, AG18-AG19, AG24, AG26, FIL1-FIL3, PRJ4)."""
+"""Aggregates under a factorial design (AG8-AG15, AG19, AG26, FIL1-FIL3, JN2, PRJ4, SO2, TS5)."""
 
 from __future__ import annotations
 

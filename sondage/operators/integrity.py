@@ -1,4 +1,4 @@
-"""Referential integrity and coverage checks (JN5, JN16, ST1-ST8, SNK8, SNK10) as findings."""
+"""Referential integrity and coverage checks (JN5, JN16, PRJ1, ST1-ST3, ST6, SNK8, SNK10) as findings."""
 
 from __future__ import annotations
 
@@ -29,7 +29,8 @@ def inclusions(checks: list[tuple[str, DataFrame, DataFrame, dict[str, str]]]) -
     """JN5, SNK10: a finding a check (name, child, parent, keys): dangling tuples, and OK or FAIL. All checks share one shuffle of distinct tuples, children and parents side by side."""
 
     def side(i: int, df: DataFrame, columns: list[str], is_child: bool) -> DataFrame:
-        known = df.dropna(subset=columns).select(F.lit(i).alias("i"), F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"k{n}") for n, c in enumerate(columns)])).alias("tuple"))
+        values = [F.col(f"`{c}`").cast("string").alias(f"k{n}") for n, c in enumerate(columns)]
+        known = df.dropna(subset=columns).select(F.lit(i).alias("i"), (values[0] if len(values) == 1 else F.to_json(F.struct(*values))).alias("tuple"))
         return known.withColumn("child", F.lit(is_child)).withColumn("parent", F.lit(not is_child))
 
     sides = [side(i, df, columns, is_child) for i, (_, child, parent, keys) in enumerate(checks) for df, columns, is_child in ((child, list(keys), True), (parent, list(keys.values()), False))]

@@ -1,4 +1,4 @@
-"""Deterministic group-preserving coverage samples (PF19-PF21, SO1, AG5-AG7, FIL7)."""
+"""Deterministic group-preserving coverage samples (PF19-PF21, SO1, SO6, AG5-AG7, AG27, FIL7, WN9)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Scores of candidate models against reference models (JN6-JN12, SC2-SC9, SF11, AG20, AG24).
+"""Scores of candidate models against reference models (JN6-JN11, SC2-SC9, SF11, AG20).
 
 Candidate and reference stand in one row; matching is a fold over arrays, in declaration order, first come first served.
 The reference table is joined by dataset (broadcast after a check of its size).
