@@ -160,6 +160,34 @@ CLEAN: tuple[str, ...] = tuple(
     + _lines(("Women", "Men", "Foreigners", "Refugees", "Old people", "Immigrants", "Disabled persons"), ("are counted in a column of their own", "have a code in the lookup table", "are a category of the survey", "make up half of the rows"))
     + _lines(("The column sex", "The attribute gender", "The breast cancer table", "The head injury code", "The column cause_of_death", "The animal table", "The disease register"), ("has three values", "is mandatory", "should be moved to the patient entity", "depends on the key"))
     + """
+Thank you for your question
+You will see the answer in the next section
+I hope you are well and that this helps you
+Let me know if you need anything else from us
+You can download the file whenever you like
+Here is what you asked me for
+If you have time, would you look at my draft
+You were right and I was wrong
+Did you mean the second column or the third
+We will send you the report before your meeting
+Your proposal looks good to me
+They are both valid, so you may choose
+See above how these two are connected
+You did a great job with this dataset
+Please tell us what you think about it
+Danke für deine Nachricht, ich schaue mir das an
+Sie können die Datei jederzeit herunterladen
+Hast du die zweite oder die dritte Spalte gemeint
+Wir schicken Ihnen den Bericht vor der Besprechung
+Gracias por tu mensaje, lo reviso mañana
+Puede descargar el archivo cuando quiera
+Te refieres a la segunda columna o a la tercera
+Merci pour ton message, je regarde demain
+Vous pouvez télécharger le fichier quand vous voulez
+Grazie per il tuo messaggio, guardo domani
+Puoi scaricare il file quando vuoi
+Obrigado pela sua mensagem, vejo amanhã
+Você pode baixar o arquivo quando quiser
 My own stupid mistake, sorry
 I feel dumb for missing that
 I was an idiot to trust the cache
