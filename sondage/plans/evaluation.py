@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sondage.operators import audit, dependencies, design, dsl, factorial, integrity, profile, sampling, scoring, stats, synth
 from sondage.plans import catalog
-from sondage.session import scratch, spread, table
+from sondage.session import checkpoint, scratch, spread, table
 from sondage.sources import tables
 
 QUERIES: dict = {}
@@ -216,7 +216,7 @@ AUDIT = (
     UNION ALL SELECT 'accidental key', subject, CASE WHEN contains(subject, ',') THEN 'WARN' ELSE 'FAIL' END, n FROM instances WHERE a = n
     UNION ALL SELECT 'dependency artifact', concat(lhs, ' -> ', rhs), 'WARN', 1 FROM fds WHERE (lhs, rhs) NOT IN (SELECT (lhs, rhs) FROM paths) AND (lhs, rhs) NOT IN (SELECT (lhs, rhs) FROM inside)"""
 )
-query("audit_sales", AUDIT)(lambda s, sf: audit.audit(sales(s, sf), SALES_MODEL))
+query("audit_sales", AUDIT)(lambda s, sf: audit.audit(checkpoint(sales(s, sf)), SALES_MODEL))
 
 # --- prompts and campaigns --------------------------------------------------------------------------------------------
 
