@@ -226,7 +226,17 @@ def coverage_sample_report(s: SparkSession, sf: str) -> DataFrame:
     return sampling.representativeness(orders, sampling.sample_rows(orders, ["o_custkey"], chosen), TARGETS).drop("coverage_pct")
 
 
-@query("coverage_sample_rows")
+# The greedy cover step by step: what is missing and who was chosen is one row that each step replaces.
+@query(
+    "coverage_sample_rows",
+    """WITH RECURSIVE given AS (SELECT user_id::VARCHAR AS g, event_type AS v, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL),
+    need AS (SELECT list({'v': v, 'm': least(2, n)} ORDER BY v) AS left_over FROM (SELECT event_type AS v, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type)),
+    steps(chosen, left_over) AS (SELECT []::VARCHAR[], left_over FROM need
+    UNION ALL SELECT list_append(s.chosen, b.g), list_transform(s.left_over, lambda x: {'v': x.v, 'm': greatest(0, x.m - coalesce(list_filter(b.own, lambda o: o.v = x.v)[1].n, 0))})
+    FROM steps s, LATERAL (SELECT g, list({'v': v, 'n': n}) AS own FROM given WHERE NOT list_contains(s.chosen, g) GROUP BY g ORDER BY sum(least(n, list_filter(s.left_over, lambda x: x.v = given.v)[1].m)) DESC, g LIMIT 1) b
+    WHERE list_sum(list_transform(s.left_over, lambda x: x.m)) > 0)
+    SELECT event_id, user_id, event_type, value FROM events WHERE list_contains((SELECT chosen FROM steps ORDER BY len(chosen) DESC LIMIT 1), user_id::VARCHAR)""",
+)
 def coverage_sample_rows(s: SparkSession, sf: str) -> DataFrame:
     events = table(s, sf, "events")
     return sampling.sample_rows(events, ["user_id"], sampling.greedy_cover(events, ["user_id"], ["event_type"])).select("event_id", "user_id", "event_type", "value")
@@ -315,8 +325,8 @@ def _dim(d: str) -> str:
 )
 def model_scores(s: SparkSession, sf: str) -> DataFrame:
     wanted = table(s, sf, "metrics_records").where("metrics is not null").select("run_id")
-    runs = table(s, sf, "parsed_records").select("run_id", "dataset", "candidate")
-    scored = scoring.score_models(spread(runs), scoring.references(table(s, sf, "ref_entities"))).select("run_id", "scores").dropDuplicates(["run_id"]).join(wanted, "run_id", "left_semi")
+    runs = table(s, sf, "parsed_records").select("run_id", "parsed_id", "dataset", "candidate")
+    scored = scoring.score_models(spread(runs), scoring.references(table(s, sf, "ref_entities"))).groupBy("run_id").agg(F.min_by("scores", "parsed_id").alias("scores")).join(wanted, "run_id", "left_semi")
     names = (("entities", "entities"), ("keys", "keys"), ("pk_only", "keys_pk_only"), ("fk_only", "keys_fk_only"), ("attributes", "attributes"))
     return scored.select("run_id", *[F.col(f"scores.{d}.{c}").alias(f"{n}_{c}") for d, n in names for c in ("tp", "fp", "fn")], scoring.rounded(F.col("scores.entities.f1")).alias("entities_f1"))
 
@@ -336,17 +346,19 @@ def links_of(refs: DataFrame) -> DataFrame:
 )
 def relationship_scores(s: SparkSession, sf: str) -> DataFrame:
     wanted = table(s, sf, "metrics_records").where("metrics is not null").select("run_id")
-    runs = table(s, sf, "parsed_records").select("run_id", "dataset", "candidate")
+    runs = table(s, sf, "parsed_records").select("run_id", "parsed_id", "dataset", "candidate")
     refs = table(s, sf, "ref_entities")
-    scored = scoring.score_relationships(spread(runs), scoring.references(refs), links_of(refs)).select("run_id", "relationships")
-    return scored.dropDuplicates(["run_id"]).join(wanted, "run_id", "left_semi").select("run_id", "relationships.tp", "relationships.fp", "relationships.fn")
+    scored = scoring.score_relationships(spread(runs), scoring.references(refs), links_of(refs)).groupBy("run_id").agg(F.min_by("relationships", "parsed_id").alias("relationships"))
+    return scored.join(wanted, "run_id", "left_semi").select("run_id", "relationships.tp", "relationships.fp", "relationships.fn")
 
 
 @query("relaxed_recall")
 def relaxed_recall(s: SparkSession, sf: str) -> DataFrame:
     refs = table(s, sf, "ref_entities")
-    runs = table(s, sf, "parsed_records").select("run_id", "dataset", "provider", "cond_id", "candidate")
-    scored = scoring.score_relationships(spread(runs), scoring.references(refs), links_of(refs)).select("run_id", "dataset", "provider", "cond_id", "relationships", "relaxed_recall").dropDuplicates(["run_id"])
+    runs = table(s, sf, "parsed_records").select("run_id", "parsed_id", "dataset", "provider", "cond_id", "candidate")
+    scored = scoring.score_relationships(spread(runs), scoring.references(refs), links_of(refs))
+    kept = F.struct("dataset", "provider", "cond_id", "relationships", "relaxed_recall")
+    scored = scored.groupBy("run_id").agg(F.min_by(kept, "parsed_id").alias("r")).select("run_id", "r.*")
     return scored.groupBy("dataset", "provider", "cond_id").agg(F.count("*").alias("runs"), F.avg("relationships.recall").alias("strict_recall"), F.avg("relaxed_recall").alias("relaxed_recall"))
 
 

@@ -46,7 +46,7 @@ def record_round_trip(s: SparkSession, sf: str) -> DataFrame:
     """SRC4-SRC8, SNK3, SNK4: records written as JSON by provider, and read again, one provider by its path too."""
     folder = f"{scratch(s)}/records-{uuid.uuid4().hex}"
     records = table(s, sf, "metrics_records").where("metrics is not null and provider is not null")
-    records.select("run_id", "provider", F.col("provider").alias("part"), "dataset", "temperature", "replicate", "metrics").write.partitionBy("part").json(folder)
+    tables.write_records(records.select("run_id", "provider", F.col("provider").alias("part"), "dataset", "temperature", "replicate", "metrics"), folder, ["part"])
     least = records.agg(F.min("provider")).first()[0]
     found = s.read.schema(tables.METRICS).json(folder)
     one = s.read.schema(tables.METRICS).json(f"{folder}/part={least}").select("run_id").distinct().withColumn("by_glob", F.lit(True)) if least is not None else found.select("run_id").limit(0).withColumn("by_glob", F.lit(True))
@@ -139,8 +139,8 @@ def evaluated_models(s: SparkSession, sf: str) -> DataFrame:
     """SC8, SC10, PRJ3: the four blocks of scores in one call, as the metrics records have them."""
     wanted = table(s, sf, "metrics_records").where("metrics is not null").select("run_id")
     refs = table(s, sf, "ref_entities")
-    runs = spread(table(s, sf, "parsed_records").select("run_id", "dataset", "candidate"))
-    found = scoring.evaluate(runs, scoring.references(refs), catalog.links_of(refs)).groupBy("run_id").agg(F.any_value("metrics").alias("metrics"))
+    runs = spread(table(s, sf, "parsed_records").select("run_id", "parsed_id", "dataset", "candidate"))
+    found = scoring.evaluate(runs, scoring.references(refs), catalog.links_of(refs)).groupBy("run_id").agg(F.min_by("metrics", "parsed_id").alias("metrics"))
     return found.join(wanted, "run_id", "left_semi").select("run_id", *[F.col(f"metrics.{d}.{c}").alias(f"{d}_{c}") for d in PARTS for c in ("tp", "fp", "fn", "precision", "recall", "f1")])
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sondage.operators import audit, dependencies, design, factorial, profile, sampling, scoring, stats
 from sondage.sources import tables
+from sondage.streaming import runs
 
 
 def test_exact_p_equals_enumeration(spark):
@@ -112,3 +113,13 @@ def test_cover_equals_the_plain_greedy_one(spark, monkeypatch, ahead):
         for v in groups.pop(best):
             need[v] -= 1
     assert sampling.greedy_cover(spark.createDataFrame(rows, "g int, a string, b string"), ["g"], ["a", "b"]) == wanted
+
+
+def test_rates_of_arriving_records(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, (provider, minute, text) in enumerate((("a", 5, "x"), ("a", 50, " "), ("b", 5, None), ("a", 70, "y"))):
+        (tmp_path / "in" / f"{i}.json").write_text('{"run_id": "%d", "provider": "%s", "generated_at": "2025-01-01T%02d:%02d:00"%s}' % (i, provider, 10 + minute // 60, minute % 60, "" if text is None else f', "response_text": "{text}"'))
+    stream = runs.failure_rates(runs.read_arriving(spark, str(tmp_path / "in"), tables.RAW))
+    stream.writeStream.outputMode("complete").format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    found = {(r.provider, r.window.start.hour): (r["runs"], r.empty_answers) for r in spark.table("rates").collect()}
+    assert sorted(found.values()) == [(1, 0), (1, 1), (2, 1)] and {p for p, _ in found} == {"a", "b"}
