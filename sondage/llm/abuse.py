@@ -38,7 +38,7 @@ from sondage.llm.seeds import ABUSIVE, CLASSES, CLEAN, ORDER
 from sondage.session import spread
 
 #: Labelled samples at most, the probability from which a text is reported, and the one from which a window isn't counted as the corpus's clean language.
-SAMPLES, THRESHOLD, DOUBT = 20_000, 0.3, 0.3
+SAMPLES, THRESHOLD, DOUBT = 20_000, 0.35, 0.3
 #: Weight of the corpus's feature frequencies, in windows.
 BACKING = 10_000
 #: A sentence of more than LONG words is read in windows of WINDOW words, one every STEP.

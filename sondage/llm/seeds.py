@@ -113,31 +113,31 @@ _OTHERS = {
     + _lines(("Ausländer", "Frauen", "Schwule", "Behinderte", "Juden", "Flüchtlinge"), ("sind Dreck", "sind Abschaum", "sind wie Tiere", "sind Parasiten", "gehören ausgerottet", "sind zu dumm", "haben hier nichts verloren"), step=2)
     + _lines(("Hoffentlich", "Ich hoffe,"), ("stirbst du bald", "du verreckst", "deine Familie stirbt", "du bekommst Krebs"))
     + _lines(("Zeig mir", "Ich träume von", "Ich will"), ("deine Titten", "deinem nackten Körper", "deinen Arsch", "dich ficken", "mit dir ins Bett"))
-    + "Halt dein Maul, du Schlampe|Häng dich doch auf|Spring doch von der Brücke|Leck mich am Arsch|Keiner wird dich vermissen, wenn du tot bist|Dein Hirn passt in eine Nussschale|Du bist dümmer als ein Stück Brot".split("|"),
+    + "Halt dein Maul, du Schlampe|Häng dich doch auf|Spring doch von der Brücke|Leck mich am Arsch|Keiner wird dich vermissen, wenn du tot bist|Dein Hirn passt in eine Nussschale|Du bist dümmer als ein Stück Brot|Halt die Klappe, du Trottel|Verschwinde, du Idiot|Geh sterben|Du bist eine Schande für deine Familie|Du widerst mich an|Wie kann man nur so dumm sein|Bist du zu blöd zum Lesen|Dir hat man wohl ins Gehirn geschissen|Deine Mutter hätte dich abtreiben sollen|Ohne dich wäre die Welt besser dran|Pass gut auf deine Kinder auf, es passiert so schnell etwas|Wir sehen uns im Dunkeln, und dann gnade dir Gott|Du wirst noch bereuen, dass du geboren wurdest|Ich mache dich kalt|Ich reiße dir den Kopf ab|Dich sollte man erschießen|Solche Leute gehören an die Wand gestellt|Die sollen zurück in ihr Land gehen|Frauen gehören an den Herd|Alle Muslime sind Terroristen|Diese Schmarotzer leben nur von unserem Geld|Zieh dich aus und komm zu mir|Setz dich auf meinen Schoß, Süße|Was trägst du unter deinem Rock|Ich will deine Brüste anfassen|Komm heute Nacht in mein Zimmer, dann bekommst du die Stelle|Du fette Sau|Fick deine Mutter|Du dreckige Hure|Verreck doch endlich".split("|"),
     "es": _lines(("Eres un", "Qué", "Tu jefe es un", "Sois unos"), ("idiota", "imbécil", "cabrón", "gilipollas", "estúpido", "hijo de puta", "inútil", "cerdo", "pendejo"), ("", "de mierda", "asqueroso"), step=2)
     + _lines(("Te voy a matar", "Voy a romperte los dientes", "Te voy a quemar la casa", "Sé dónde vives", "Te voy a cortar el cuello"), ("", "cabrón", "esta noche"))
     + _lines(("Los extranjeros", "Las mujeres", "Los gitanos", "Los negros", "Los judíos", "Los refugiados"), ("son animales", "son escoria", "son parásitos", "no tienen cerebro", "deberían ser exterminados", "sobran aquí"), step=2)
     + _lines(("Espero que", "Ojalá"), ("te mueras", "te pudras", "se muera tu familia", "tengas cáncer"))
     + _lines(("Enséñame", "Sueño con", "Quiero ver"), ("tus tetas", "tu culo", "tu cuerpo desnudo"))
-    + "Cierra la boca, puta|Vete al infierno|Mátate|Tírate por la ventana|Quiero follarte|Nadie te va a echar de menos cuando mueras".split("|"),
+    + "Cierra la boca, puta|Vete al infierno|Mátate|Tírate por la ventana|Quiero follarte|Nadie te va a echar de menos cuando mueras|Cállate la boca, imbécil|Lárgate de aquí, inútil|Muérete de una vez|Eres una vergüenza para tu familia|Me das asco|Cómo se puede ser tan estúpido|No sabes ni leer, burro|Tu madre debió abortarte|El mundo estaría mejor sin ti|Cuida bien de tus hijos, pueden tener un accidente|Ya nos veremos en la calle y te vas a arrepentir|Te vas a arrepentir de haber nacido|Te voy a arrancar la cabeza|Alguien debería pegarte un tiro|Esa gente no debería tener hijos|Que vuelvan a su país|Las mujeres a la cocina|Todos los musulmanes son terroristas|Esos parásitos viven de nuestro dinero|Quítate la ropa y ven conmigo|Siéntate en mis rodillas, guapa|Qué llevas debajo de la falda|Quiero tocarte los pechos|Ven esta noche a mi habitación y tendrás el puesto|Gorda de mierda|Chúpamela|Eres una puta barata|Ojalá te atropelle un coche|Ojalá se queme tu casa contigo dentro|Un perro tiene más cerebro que tú".split("|"),
     "fr": _lines(("Tu es un", "Quel", "Ton chef est un", "Espèce de"), ("idiot", "imbécile", "connard", "salaud", "abruti", "crétin", "enculé", "gros porc", "débile"), ("", "de merde", "fini"), step=2)
     + _lines(("Je vais te tuer", "Je vais te casser les dents", "Je vais brûler ta maison", "Je sais où tu habites", "Je vais t'égorger"), ("", "connard", "cette nuit"))
     + _lines(("Les étrangers", "Les femmes", "Les Arabes", "Les Noirs", "Les juifs", "Les réfugiés"), ("sont des animaux", "sont des parasites", "n'ont pas de cerveau", "devraient être exterminés", "puent", "n'ont rien à faire ici"), step=2)
     + _lines(("J'espère que", "Je souhaite que"), ("tu vas crever", "tu meurs bientôt", "ta famille meure", "tu aies un cancer"))
     + _lines(("Montre-moi", "Je rêve de", "Je veux voir"), ("tes nichons", "ton cul", "ton corps nu"))
-    + "Ta gueule, salope|Va en enfer|Pends-toi|Jette-toi par la fenêtre|Je veux te baiser|Personne ne te regrettera quand tu seras mort".split("|"),
+    + "Ta gueule, salope|Va en enfer|Pends-toi|Jette-toi par la fenêtre|Je veux te baiser|Personne ne te regrettera quand tu seras mort|Ferme-la, imbécile|Dégage d'ici, pauvre type|Va crever|Tu es la honte de ta famille|Tu me dégoûtes|Comment peut-on être aussi bête|Tu ne sais même pas lire, abruti|Ta mère aurait dû avorter|Le monde serait meilleur sans toi|Surveille bien tes enfants, un accident arrive vite|On se reverra dans la rue et tu vas le regretter|Tu vas regretter d'être né|Je vais t'arracher la tête|Quelqu'un devrait te tirer une balle|Ces gens ne devraient pas avoir d'enfants|Qu'ils rentrent dans leur pays|Les femmes à la cuisine|Tous les musulmans sont des terroristes|Ces parasites vivent de notre argent|Déshabille-toi et viens avec moi|Assieds-toi sur mes genoux, ma belle|Que portes-tu sous ta jupe|J'ai envie de toucher ta poitrine|Viens ce soir dans ma chambre et tu auras le poste|Grosse vache|Suce-moi|Tu es une sale pute|J'espère qu'une voiture va t'écraser|J'espère que ta maison brûlera avec toi dedans|Un chien a plus de cervelle que toi".split("|"),
     "it": _lines(("Sei un", "Che", "Il tuo capo è un", "Brutto"), ("idiota", "imbecille", "stronzo", "bastardo", "cretino", "coglione", "figlio di puttana", "maiale", "deficiente"), ("", "di merda", "schifoso"), step=2)
     + _lines(("Ti ammazzo", "Ti rompo i denti", "Ti brucio la casa", "So dove abiti", "Ti taglio la gola"), ("", "bastardo", "stanotte"))
     + _lines(("Gli stranieri", "Le donne", "Gli zingari", "I negri", "Gli ebrei", "I rifugiati"), ("sono animali", "sono bestie", "non hanno cervello", "vanno sterminati", "puzzano", "devono sparire"), step=2)
     + _lines(("Spero che", "Vorrei che"), ("tu muoia", "tu crepi", "muoia la tua famiglia", "ti venga un cancro"))
     + _lines(("Fammi vedere", "Sogno", "Voglio vedere"), ("le tette", "il tuo culo", "il tuo corpo nudo"))
-    + "Chiudi la bocca, puttana|Vai all'inferno|Impiccati|Buttati dalla finestra|Voglio scoparti|Nessuno piangerà quando sarai morto".split("|"),
+    + "Chiudi la bocca, puttana|Vai all'inferno|Impiccati|Buttati dalla finestra|Voglio scoparti|Nessuno piangerà quando sarai morto|Chiudi quella bocca, imbecille|Sparisci, buono a nulla|Crepa|Sei la vergogna della tua famiglia|Mi fai schifo|Come si fa a essere così stupidi|Non sai nemmeno leggere, asino|Tua madre doveva abortire|Il mondo sarebbe migliore senza di te|Stai attento ai tuoi figli, un incidente capita in fretta|Ci vediamo per strada e te ne pentirai|Ti pentirai di essere nato|Ti stacco la testa|Qualcuno dovrebbe spararti|Quella gente non dovrebbe avere figli|Tornino al loro paese|Le donne in cucina|Tutti i musulmani sono terroristi|Quei parassiti vivono dei nostri soldi|Spogliati e vieni da me|Siediti sulle mie ginocchia, bella|Cosa porti sotto la gonna|Voglio toccarti il seno|Vieni stanotte in camera mia e avrai il posto|Brutta grassona|Succhiamelo|Sei una lurida puttana|Spero che una macchina ti investa|Spero che la tua casa bruci con te dentro|Un cane ha più cervello di te".split("|"),
     "pt": _lines(("Você é um", "Que", "O teu chefe é um", "Seu"), ("idiota", "imbecil", "babaca", "canalha", "otário", "filho da puta", "inútil", "porco", "estúpido"), ("", "de merda", "nojento"), step=2)
     + _lines(("Vou te matar", "Vou quebrar os teus dentes", "Vou queimar a tua casa", "Sei onde você mora", "Vou cortar a tua garganta"), ("", "desgraçado", "esta noite"))
     + _lines(("Os estrangeiros", "As mulheres", "Os ciganos", "Os negros", "Os judeus", "Os refugiados"), ("são animais", "são parasitas", "não têm cérebro", "deviam ser exterminados", "fedem", "não prestam"), step=2)
     + _lines(("Espero que", "Tomara que"), ("você morra", "você apodreça", "a tua família morra", "você tenha câncer"))
     + _lines(("Mostra", "Sonho com", "Quero ver"), ("os teus peitos", "a tua bunda", "o teu corpo nu"))
-    + "Cala essa boca, vadia|Vai para o inferno|Se enforca|Se joga da ponte|Quero transar com você|Ninguém vai chorar quando você morrer".split("|"),
+    + "Cala essa boca, vadia|Vai para o inferno|Se enforca|Se joga da ponte|Quero transar com você|Ninguém vai chorar quando você morrer|Fecha essa boca, imbecil|Some daqui, seu inútil|Morre logo|Você é a vergonha da sua família|Você me dá nojo|Como alguém pode ser tão burro|Nem ler você sabe, seu animal|A tua mãe devia ter abortado|O mundo seria melhor sem você|Cuida bem dos teus filhos, um acidente acontece depressa|A gente se vê na rua e você vai se arrepender|Vais arrepender-te de ter nascido|Vou arrancar a tua cabeça|Alguém devia te dar um tiro|Essa gente não devia ter filhos|Que voltem para o país deles|Mulher tem que ficar na cozinha|Todos os muçulmanos são terroristas|Esses parasitas vivem do nosso dinheiro|Tira a roupa e vem comigo|Senta no meu colo, gostosa|O que você usa debaixo da saia|Quero tocar nos seus seios|Vem esta noite ao meu quarto e a vaga é tua|Sua gorda nojenta|Me chupa|Você é uma puta barata|Tomara que um carro te atropele|Tomara que a tua casa queime com você dentro|Um cachorro tem mais cérebro que você".split("|"),
 }
 ABUSIVE: tuple[tuple[str, str], ...] = tuple((line, "en") for line in _ENGLISH) + tuple((line, lang) for lang, lines in _OTHERS.items() for line in lines)
 
