@@ -15,19 +15,6 @@ def word_hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def hashed_words(words: list[str], orders: tuple[int, ...] = (1, 2), buckets: int = BUCKETS) -> np.ndarray:
-    """Distinct buckets of the n-grams of ``words``."""
-    codes = np.fromiter(map(word_hash, words), np.uint64, len(words))
-    found = []
-    for order in orders:
-        if len(codes) >= order:
-            value = codes[: len(codes) - order + 1].copy()
-            for i in range(1, order):
-                value = value * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - order + 1 + i]
-            found.append(((value * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(24)) % np.uint64(buckets))
-    return np.unique(np.concatenate(found)).astype(np.int32) if found else np.empty(0, np.int32)
-
-
 def hashed_chars(text: str, orders: tuple[int, ...] = (3, 4), buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of the character n-grams of ``text``."""
     data = text.encode("utf-8", "surrogatepass")
@@ -82,8 +69,3 @@ class LogisticModel:
                 seen += slope**2
                 value -= (rate * slope / np.sqrt(seen)).astype(np.float32)
         return self
-
-
-def recall_threshold(logits: np.ndarray, positive: np.ndarray, recall: float, margin: float) -> float:
-    """The logit that keeps ``recall`` of the held-out positives, less a margin."""
-    return float(np.quantile(logits[positive], 1 - recall)) - margin if positive.any() else 0.0
