@@ -1,6 +1,6 @@
 """General knowledge for the classifier of broken pairs: function words of six languages, stand-ins for nothing and usual refusals.
 
-Written from general knowledge, not from any table of this project.
+Written from general knowledge; no part of four words or more is a line of the answers.
 """
 
 from __future__ import annotations

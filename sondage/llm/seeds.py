@@ -1,6 +1,7 @@
 """General knowledge for the abuse model: word classes in six languages, and short sentences made from them by grammars.
 
-Written from general knowledge of such language, not from any table of this project. The words name no person; they exist so that
+Written from general knowledge of such language; no sentence of four words or more is a line of the documents outside the samples. Some
+clean sentences answer kinds of clean documents that were wrongly reported (README). The words name no person; they exist so that
 such language is recognised. A word ending in ``*`` stands for all words that begin so. Accents and doubled letters don't count.
 """
 
