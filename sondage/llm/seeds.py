@@ -115,7 +115,7 @@ _OTHERS = {
     + _lines(("Hoffentlich", "Ich hoffe,"), ("stirbst du bald", "du verreckst", "deine Familie stirbt", "du bekommst Krebs"))
     + _lines(("Zeig mir", "Ich träume von", "Ich will"), ("deine Titten", "deinem nackten Körper", "deinen Arsch", "dich ficken", "mit dir ins Bett"))
     + "Halt dein Maul, du Schlampe|Häng dich doch auf|Spring doch von der Brücke|Leck mich am Arsch|Keiner wird dich vermissen, wenn du tot bist|Dein Hirn passt in eine Nussschale|Du bist dümmer als ein Stück Brot|Halt die Klappe, du Trottel|Verschwinde, du Idiot|Geh sterben|Du bist eine Schande für deine Familie|Du widerst mich an|Wie kann man nur so dumm sein|Bist du zu blöd zum Lesen|Dir hat man wohl ins Gehirn geschissen|Deine Mutter hätte dich abtreiben sollen|Ohne dich wäre die Welt besser dran|Pass gut auf deine Kinder auf, es passiert so schnell etwas|Wir sehen uns im Dunkeln, und dann gnade dir Gott|Du wirst noch bereuen, dass du geboren wurdest|Ich mache dich kalt|Ich reiße dir den Kopf ab|Dich sollte man erschießen|Solche Leute gehören an die Wand gestellt|Die sollen zurück in ihr Land gehen|Frauen gehören an den Herd|Alle Muslime sind Terroristen|Diese Schmarotzer leben nur von unserem Geld|Zieh dich aus und komm zu mir|Setz dich auf meinen Schoß, Süße|Was trägst du unter deinem Rock|Ich will deine Brüste anfassen|Komm heute Nacht in mein Zimmer, dann bekommst du die Stelle|Du fette Sau|Fick deine Mutter|Du dreckige Hure|Verreck doch endlich".split("|"),
-    "es": _lines(("Eres un", "Qué", "Tu jefe es un", "Sois unos"), ("idiota", "imbécil", "cabrón", "gilipollas", "estúpido", "hijo de puta", "inútil", "cerdo", "pendejo"), ("", "de mierda", "asqueroso"), step=2)
+    "es": _lines(("Eres un", "Qué", "Tu jefe es un", "Sois unos"), ("idiota", "imbécil", "cabrón", "gilipollas", "estúpido", "hijo de puta", "inútil", "cerdo", "pendejo"), ("", "miserable", "y un cobarde"), step=2)
     + _lines(("Te voy a matar", "Voy a romperte los dientes", "Te voy a quemar la casa", "Sé dónde vives", "Te voy a cortar el cuello"), ("", "cabrón", "esta noche"))
     + _lines(("Los extranjeros", "Las mujeres", "Los gitanos", "Los negros", "Los judíos", "Los refugiados"), ("son animales", "son escoria", "son parásitos", "no tienen cerebro", "deberían ser exterminados", "sobran aquí"), step=2)
     + _lines(("Espero que", "Ojalá"), ("te mueras", "te pudras", "se muera tu familia", "tengas cáncer"))
